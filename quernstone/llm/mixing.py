@@ -117,5 +117,16 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return out.select("doc_id", "size", "source", "source_size", "target", (F.col("whole") + F.col("took")).cast("long").alias("copies"))
 
 
+def repeat_rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    copies = mix(docs.select("doc_id", "text", "source"), seed).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    copies = Staged(copies).df
+    if not copies.where("_rows > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])
+    taken = copies.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("_copies").cast("int").alias("_copies"))
+    many = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
 def op3_mixing(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -100,6 +100,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("fail_bits", fail_bits())
 
 
+def keep_good(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that the policy does not reject."""
+    judged = ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
+    return judged.where(F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0).select("_row.*")
+
+
 def judge(ledger: DataFrame, policy: Policy) -> DataFrame:
     """ledger with policy_version and kept."""
     return ledger.withColumn("policy_version", F.lit(policy.version)).withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .common import table
+from .decontam import op5_decontamination
 from .mixing import op3_mixing
+from .ngram_join import op10_ngram_join
 from .quality import OP9_SQL, op9_quality
 from .sharding import op2_sharding
 
 QUERIES = {
     "op2_sharding": lambda spark, d: op2_sharding(table(spark, d, "documents")),
     "op3_mixing": lambda spark, d: op3_mixing(table(spark, d, "documents")),
+    "op5_decontamination": lambda spark, d: op5_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op10_ngram_join": lambda spark, d: op10_ngram_join(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents")),
 }
 ORACLE_SQL = {"op9_quality": OP9_SQL}
