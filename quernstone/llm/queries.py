@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .common import table
 from .decontam import op5_decontamination
+from .licenses import op6_licenses
 from .mixing import op3_mixing
 from .ngram_join import op10_ngram_join
 from .quality import OP9_SQL, op9_quality
@@ -14,6 +16,7 @@ QUERIES = {
     "op3_mixing": lambda spark, d: op3_mixing(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: op5_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_ngram_join": lambda spark, d: op10_ngram_join(table(spark, d, "documents")),
+    "op6_licenses": lambda spark, d: op6_licenses(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents")),
 }
-ORACLE_SQL = {"op9_quality": OP9_SQL}
+ORACLE_SQL = {"op6_licenses": licenses.oracle_sql(), "op9_quality": OP9_SQL}
