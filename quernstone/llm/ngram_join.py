@@ -35,51 +35,91 @@ from .components import components
 N = 3
 #: Similarity as a fraction: intersection / union >= NUM / DEN.
 NUM, DEN = 9, 10
-SKETCH_LONGS = 8
+SKETCH_LONGS = 4
 #: Block of documents within which a shingle is counted, in shingles, and the count from which it is reported.
 BLOCK, REPORT = 4_000_000, 4
 #: Shingles that the order knows as frequent, at most; a bound on what is broadcast, not on what is compared.
 ORDERED = 1 << 17
 STAR_ROUNDS = 2
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-
-
-class _Words(dict):
-    """word -> 64-bit hash, emptied when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-def words_of(text: str) -> list[str]:
-    """Words between ASCII white space, A-Z lower-cased and nothing else."""
-    low = text.lower() if text.isascii() else text.translate(_UPPER)
-    parts = low.translate(_SPACE) if not low.isprintable() else low
-    return [w for w in parts.split(" ") if w]
-
-
-def shingle_set(text: str | None, n: int, hashes: _Words) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    words = words_of(text) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(h))
-    out = np.zeros(len(h) - width + 1, np.uint64)
-    for k in range(width):
-        out = (out ^ h[k : len(h) - width + 1 + k]) * _A + _B
-        out ^= out >> np.uint64(29)
-    return np.unique(out * _C + np.uint64(width))
+#: Base of the words' polynomial hash, odd, and its inverse modulo 2**64.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are worked on at once; one longer text is worked on alone.
+CHUNK = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Powers:
+    """Powers of the base and of its inverse, modulo 2**64, for as many bytes as were asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            made = []
+            for base in (_BASE, _INVERSE):
+                x = np.full(max(n, CHUNK + 1), base, np.uint64)
+                x[0] = 1
+                made.append(np.multiply.accumulate(x))
+            self.up, self.down = made
+        return self.up[:n], self.down[:n]
+
+
+def shingle_sets(texts: list[str | None], n: int, powers: _Powers) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, in order.
+
+    Words are the runs of bytes between ASCII white space, A-Z lower-cased. The bytes of many texts are hashed at once:
+    a word's hash is its share of the running sum of byte x base**place, divided by base**start, and then mixed."""
+    encoded: list[bytes] = []
+    held = 0
+    for text in texts:
+        b = (text or "").encode("utf-8", "surrogatepass")
+        if encoded and held + len(b) > CHUNK:
+            yield from _chunk(encoded, n, powers)
+            encoded, held = [], 0
+        encoded.append(b)
+        held += len(b) + 1
+    if encoded:
+        yield from _chunk(encoded, n, powers)
+
+
+def _chunk(encoded: list[bytes], n: int, powers: _Powers) -> Iterator[np.ndarray]:
+    b = _LOWER[np.frombuffer(b" " + b" ".join(encoded) + b" ", np.uint8)]
+    edges = np.diff(_BLANK[b].view(np.int8))
+    starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
+    up, down = powers.upto(len(b))
+    total = np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)
+    h = (total[ends - 1] - total[starts - 1]) * down[starts]
+    h ^= h >> np.uint64(32)
+    h *= _A
+    h ^= h >> np.uint64(29)
+    bounds = np.cumsum([1] + [len(x) + 1 for x in encoded])
+    at = np.searchsorted(starts, bounds)
+    grams = h.copy()
+    grams *= _A
+    for k in range(1, n):
+        grams[:-k] = (grams[:-k] ^ (grams[:-k] >> np.uint64(31)) ^ h[k:]) * _A + _B if len(h) > k else grams[:-k]
+    grams ^= grams >> np.uint64(30)
+    grams *= _C
+    for i in range(len(encoded)):
+        lo, hi = at[i], at[i + 1]
+        if lo == hi:
+            yield np.empty(0, np.uint64)
+        elif hi - lo < n:
+            yield np.array([xxhash.xxh64_intdigest(h[lo:hi].tobytes(), seed=1)], np.uint64)
+        else:
+            s = np.sort(grams[lo : hi - n + 1])
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def _frequent(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, count = _Words(), [], 0
+        powers, held, count = _Powers(), [], 0
 
         def report():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -87,8 +127,7 @@ def _frequent(n: int):
             return pd.DataFrame({"token": h[keep].view(np.int64), "df": c[keep].astype(np.int64)})
 
         for batch in batches:
-            for text in batch["text"]:
-                s = shingle_set(text, n, hashes)
+            for s in shingle_sets(batch["text"].tolist(), n, powers):
                 held.append(s)
                 count += len(s)
                 if count >= BLOCK:
@@ -106,11 +145,10 @@ def _prefixes(n: int, late: np.ndarray):
     late_sorted = late[order]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Words()
+        powers = _Powers()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingle_set(text, n, hashes)
+            for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"].tolist(), n, powers), strict=True):
                 size = len(s)
                 digest = xxhash.xxh128_digest(s.tobytes())
                 key = np.frombuffer(digest, np.int64)
@@ -123,18 +161,19 @@ def _prefixes(n: int, late: np.ndarray):
                     rest = s[is_late]
                     rest = rest[np.argsort(order[at[is_late]], kind="stable")]
                     early = np.concatenate([early, rest[: probe - len(early)]])
-                sketch = np.packbits((np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
-                rows.append((doc_id, size, int(key[0]), int(key[1]), early.view(np.int64), sketch))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k0", "k1", "prefix", "sketch"])
+                sketch = np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)).view(np.int64)
+                group = np.frombuffer(xxhash.xxh128_digest(early.tobytes()), np.int64)
+                rows.append((doc_id, size, int(key[0]), int(key[1]), int(group[0]), int(group[1]), early.view(np.int64), sketch))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k0", "k1", "p0", "p1", "prefix", "sketch"])
 
     return run
 
 
 def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Words()
+        powers = _Powers()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "members": [shingle_set(t, n, hashes).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["doc_id"], "members": [s.tobytes() for s in shingle_sets(batch["text"].tolist(), n, powers)]})
 
     return run
 
@@ -180,18 +219,20 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     seen = docs.select("text").mapInPandas(_frequent(n), "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df"))
     late = np.array([r["token"] for r in seen.orderBy(F.desc("df"), "token").limit(ORDERED).collect()][::-1], np.int64).view(np.uint64)
-    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles bigint, k0 bigint, k1 bigint, prefix array<bigint>, sketch array<bigint>")).df
+    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>")).df
     keys = Staged(made.groupBy("k0", "k1").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))).df
-    nodes = Staged(made.where("n_shingles > 0").join(keys, ["k0", "k1"]).where("doc_id = node").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("size"), "prefix", "sketch", "copies"))
-    groups = Staged(nodes.df.groupBy("size", "prefix").agg(F.min("node").alias("gid"), F.count("*").alias("members"), F.max(F.struct(F.col("copies"), (-F.col("node")).alias("minus_node"))).alias("lead"))).df
-    groups = groups.withColumn("leader", -F.col("lead.minus_node"))
-    member_of = nodes.df.join(groups.select("size", "prefix", "gid", "leader"), ["size", "prefix"]).select("node", "gid", "leader", "size", "sketch")
-    member_of = Staged(member_of).df
-    posts = groups.select("gid", "size", "members", "leader", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("members", F.xxhash64("token", "leader"), "leader")).alias("m")).where("n > 1").select("token", F.col("m.leader").alias("centre"))
-    posts = Staged(posts.join(shared, "token").select("token", "pos", "gid", "size", "leader", "centre"))
+    slim = made.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("size"), "p0", "p1", "sketch", "k0", "k1")
+    nodes = Staged(slim.join(keys, ["k0", "k1"]).where("doc_id = node").select("node", "size", "p0", "p1", "sketch", "copies").dropDuplicates(["node"])).df
+    groups = nodes.groupBy("size", "p0", "p1").agg(F.min("node").alias("gid"), F.count("*").alias("members"), F.max(F.struct(F.col("copies"), (-F.col("node")).alias("minus_node"))).alias("lead"))
+    groups = Staged(groups.withColumn("leader", -F.col("lead.minus_node")).drop("lead")).df
+    member_of = Staged(nodes.join(groups.select("size", "p0", "p1", "gid", "leader"), ["size", "p0", "p1"]).select("node", "gid", "leader", "size", "sketch")).df
+    # every token of every group's prefix; those of one group only end here, with 16 bytes moved for each
+    tokens = made.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid"), "gid", "left_semi").select("gid", F.posexplode("prefix").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    posts = Staged(tokens.join(shared, "token").dropDuplicates(["token", "gid"]).join(groups.select("gid", "members", "leader"), "gid")).df
+    centres = posts.groupBy("token").agg(F.max(F.struct("members", F.xxhash64("token", "leader").alias("h"), "leader")).alias("m")).select("token", F.col("m.leader").alias("centre"))
     # first star: members with their group's leader, groups' leaders with their tokens' centres
-    pairs = member_of.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).union(posts.df.where("leader <> centre").select("leader", "centre")).distinct()
+    pairs = member_of.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).union(posts.join(centres, "token").where("leader <> centre").select("leader", "centre")).distinct()
     pairs = _sketched(pairs, member_of)
     found = Staged(links(Staged(pairs).df, docs, n))
     all_links = [found.df]
@@ -199,7 +240,7 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     for k in range(1, STAR_ROUNDS + 1):
         last = k == STAR_ROUNDS
         named = member_of.join(comps, "node", "left").select("node", "gid", "size", "sketch", F.coalesce("component", "node").alias("comp"))
-        opened = posts.df.select("token", "pos", "gid").join(named, "gid")
+        opened = posts.select("token", "pos", "gid").join(named, "gid")
         mixed = opened.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("token", "node"), "node")).alias("m")).where("lo <> hi").select("token", F.col("m.node").alias("centre"))
         opened = Staged(opened.join(mixed, "token")).df
         if last:
