@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that one broadcast side may have at most.
 BROADCAST_ROWS = 200_000
 
@@ -40,10 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A table written to the shared folder: it cuts lineage, survives lost executors, and is computed once."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, batch: int | None = None):
+        """batch: rows that an Arrow function gets at once, where they are wide."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/staged-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        before = self.spark.conf.get(_BATCH)
+        try:
+            if batch:
+                self.spark.conf.set(_BATCH, str(batch))
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         self.schema = df.schema
 
     @property

@@ -169,11 +169,15 @@ def _prefixes(n: int, late: np.ndarray):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, keys: list[str], name: str):
+    """Rows with a text -> their keys and the set of the text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = _Powers()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "members": [s.tobytes() for s in shingle_sets(batch["text"].tolist(), n, powers)]})
+            out = batch[keys].copy()
+            out[name] = [s.tobytes() for s in shingle_sets(batch["text"].tolist(), n, powers)]
+            yield out
 
     return run
 
@@ -189,13 +193,13 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["u", "v"]]
 
 
-def links(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Of the candidate pairs (u, v) of nodes, those that are linked; their texts are read from docs again."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.join(small(ids, ids.count()), "doc_id", "left_semi")
-    sets = Staged(texts.mapInPandas(_sets(n), "node bigint, members binary"))
-    u, v = sets.df.toDF("u", "su"), sets.df.toDF("v", "sv")
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "su", "sv").mapInPandas(_verify, "u bigint, v bigint")
+def links(pairs: DataFrame, docs: DataFrame, n: int) -> Staged:
+    """Of the candidate pairs (u, v) of nodes, those that are linked. Their texts are read again: a pair moves u's set once, v's set moves once for all its pairs."""
+    pairs = Staged(pairs).df
+    centres = pairs.select(F.col("v").alias("doc_id")).distinct()
+    mine = docs.join(small(pairs, pairs.count()), docs["doc_id"] == pairs["u"]).select("u", "v", "text").mapInPandas(_sets(n, ["u", "v"], "su"), "u bigint, v bigint, su binary")
+    theirs = docs.join(small(centres, centres.count()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "text").mapInPandas(_sets(n, ["v"], "sv"), "v bigint, sv binary")
+    return Staged(mine.join(theirs, "v").select("u", "v", "su", "sv").mapInPandas(_verify, "u bigint, v bigint"), batch=1000)
 
 
 def _far(a: str, b: str) -> Column:
@@ -219,7 +223,7 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     seen = docs.select("text").mapInPandas(_frequent(n), "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df"))
     late = np.array([r["token"] for r in seen.orderBy(F.desc("df"), "token").limit(ORDERED).collect()][::-1], np.int64).view(np.uint64)
-    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>")).df
+    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>"), batch=2000).df
     keys = Staged(made.groupBy("k0", "k1").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))).df
     slim = made.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("size"), "p0", "p1", "sketch", "k0", "k1")
     nodes = Staged(slim.join(keys, ["k0", "k1"]).where("doc_id = node").select("node", "size", "p0", "p1", "sketch", "copies").dropDuplicates(["node"])).df
@@ -232,28 +236,24 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     posts = Staged(tokens.join(shared, "token").dropDuplicates(["token", "gid"]).join(groups.select("gid", "members", "leader"), "gid")).df
     centres = posts.groupBy("token").agg(F.max(F.struct("members", F.xxhash64("token", "leader").alias("h"), "leader")).alias("m")).select("token", F.col("m.leader").alias("centre"))
     # first star: members with their group's leader, groups' leaders with their tokens' centres
-    pairs = member_of.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).union(posts.join(centres, "token").where("leader <> centre").select("leader", "centre")).distinct()
-    pairs = _sketched(pairs, member_of)
-    found = Staged(links(Staged(pairs).df, docs, n))
-    all_links = [found.df]
-    comps = Staged(components(found.df)).df
-    for k in range(1, STAR_ROUNDS + 1):
-        last = k == STAR_ROUNDS
+    pairs = member_of.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).union(posts.join(centres, "token").where("leader <> centre").select("leader", "centre"))
+    every = links(_nearest(_sketched(pairs.distinct(), member_of)), docs, n).df
+    comps = Staged(components(every)).df
+    for k in range(STAR_ROUNDS):
+        last = k == STAR_ROUNDS - 1
         named = member_of.join(comps, "node", "left").select("node", "gid", "size", "sketch", F.coalesce("component", "node").alias("comp"))
-        opened = posts.select("token", "pos", "gid").join(named, "gid")
-        mixed = opened.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("token", "node"), "node")).alias("m")).where("lo <> hi").select("token", F.col("m.node").alias("centre"))
+        opened = posts.select("token", "pos", "gid").join(named.select("node", "gid", "comp"), "gid")
+        mixed = opened.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node", "comp")).alias("m"))
+        mixed = mixed.where("lo <> hi").select("token", F.col("m.node").alias("centre"), F.col("m.comp").alias("centre_comp"))
         opened = Staged(opened.join(mixed, "token")).df
         if last:
-            a, b = opened.alias("a"), opened.alias("b")
-            near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _close("a", "b"))
+            full = Staged(opened.select("token", "pos", "node", "comp").join(named.select("node", "size", "sketch"), "node")).df
+            near = full.alias("a").join(full.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _close("a", "b"))
             pairs = near.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
         else:
-            pairs = _sketched(opened.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), member_of)
-        found = Staged(links(Staged(pairs).df, docs, n))
-        all_links.append(found.df)
-        every = all_links[0]
-        for x in all_links[1:]:
-            every = every.union(x)
+            pairs = opened.where("node <> centre AND comp <> centre_comp").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+            pairs = _nearest(_sketched(pairs, member_of))
+        every = every.union(links(pairs, docs, n).df)
         comps = Staged(components(every)).df
     of_key = keys.join(comps, "node", "left").select("k0", "k1", "copies", F.coalesce("component", "node").alias("component_id"))
     full = made.select("doc_id", "n_shingles", "k0", "k1").join(of_key, ["k0", "k1"])
@@ -262,13 +262,19 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def _sketched(pairs: DataFrame, member_of: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) of nodes, those that sizes and sketches allow."""
+    """Of the pairs (u, v) of nodes, those that sizes and sketches allow, with the distance that the sketches show."""
     x = member_of.select(F.col("node").alias("u"), F.struct("size", "sketch").alias("a"))
     y = member_of.select(F.col("node").alias("v"), F.struct("size", "sketch").alias("b"))
     total = "(a.size + b.size)"
     need = f"(({NUM} * {total} + {NUM + DEN - 1}) div {NUM + DEN})"
-    ok = F.expr(f"{DEN} * least(a.size, b.size) >= {NUM} * greatest(a.size, b.size)") & (_far("a", "b") <= F.expr(f"{total} - 2 * {need}"))
-    return pairs.join(x, "u").join(y, "v").where(ok).select("u", "v")
+    far = _far("a", "b")
+    ok = F.expr(f"{DEN} * least(a.size, b.size) >= {NUM} * greatest(a.size, b.size)") & (far <= F.expr(f"{total} - 2 * {need}"))
+    return pairs.join(x, "u").join(y, "v").where(ok).select("u", "v", far.alias("far"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each u the v that looks nearest; what this leaves out, the last round sees if it would join components."""
+    return pairs.groupBy("u").agg(F.min(F.struct("far", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
 
 
 def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
