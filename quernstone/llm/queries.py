@@ -12,6 +12,7 @@ from .pii import op1_pii
 from .quality import OP9_SQL, op9_quality
 from .secrets import op7_secrets
 from .sharding import op2_sharding
+from .toxicity import op8_toxicity
 from .urls import op4_url_filter
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op5_decontamination": lambda spark, d: op5_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_ngram_join": lambda spark, d: op10_ngram_join(table(spark, d, "documents")),
     "op6_licenses": lambda spark, d: op6_licenses(table(spark, d, "documents")),
+    "op8_toxicity": lambda spark, d: op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents")),
 }
 ORACLE_SQL = {"op4_url_filter": urls.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_quality": OP9_SQL}
