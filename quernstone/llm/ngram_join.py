@@ -37,7 +37,7 @@ N = 3
 NUM, DEN = 9, 10
 SKETCH_LONGS = 4
 #: Block of documents within which a shingle is counted, in shingles, and the count from which it is reported.
-BLOCK, REPORT = 4_000_000, 4
+BLOCK, REPORT = 1_000_000, 4
 #: Shingles that the order knows as frequent, at most; a bound on what is broadcast, not on what is compared.
 ORDERED = 1 << 17
 STAR_ROUNDS = 2
@@ -199,7 +199,7 @@ def links(pairs: DataFrame, docs: DataFrame, n: int) -> Staged:
     centres = pairs.select(F.col("v").alias("doc_id")).distinct()
     mine = docs.join(small(pairs, pairs.count()), docs["doc_id"] == pairs["u"]).select("u", "v", "text").mapInPandas(_sets(n, ["u", "v"], "su"), "u bigint, v bigint, su binary")
     theirs = docs.join(small(centres, centres.count()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "text").mapInPandas(_sets(n, ["v"], "sv"), "v bigint, sv binary")
-    return Staged(mine.join(theirs, "v").select("u", "v", "su", "sv").mapInPandas(_verify, "u bigint, v bigint"), batch=1000)
+    return Staged(mine.join(theirs, "v").select("u", "v", "su", "sv").mapInPandas(_verify, "u bigint, v bigint"), batch=200)
 
 
 def _far(a: str, b: str) -> Column:
@@ -221,9 +221,9 @@ def _close(a: str, b: str) -> Column:
 def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, n_copies (documents with the same set)."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    seen = docs.select("text").mapInPandas(_frequent(n), "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df"))
+    seen = Staged(docs.select("text").mapInPandas(_frequent(n), "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df")), batch=1000).df
     late = np.array([r["token"] for r in seen.orderBy(F.desc("df"), "token").limit(ORDERED).collect()][::-1], np.int64).view(np.uint64)
-    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>"), batch=2000).df
+    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>"), batch=1000).df
     keys = Staged(made.groupBy("k0", "k1").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))).df
     slim = made.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("size"), "p0", "p1", "sketch", "k0", "k1")
     nodes = Staged(slim.join(keys, ["k0", "k1"]).where("doc_id = node").select("node", "size", "p0", "p1", "sketch", "copies").dropDuplicates(["node"])).df
