@@ -10,6 +10,7 @@ results; an empty table gives an empty ledger; extra columns of the input are no
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,14 +20,14 @@ from .common import WORD, let
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: name -> condition of failure over the measures; the position in this list is the rule's bit, so only append.
-RULES: list[tuple[str, str]] = [
-    ("few_words", "n_words < 10"),
-    ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "100 * n_symbols > 10 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 40 * n_lines"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
+#: name -> condition of failure over the struct of measures; the position in this list is the rule's bit, so only append.
+RULES: list[tuple[str, Callable[[Column], Column]]] = [
+    ("few_words", lambda m: m["n_words"] < 10),
+    ("repeated_windows", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 20),
+    ("symbols", lambda m: m["n_symbols"] * 100 > m["n_words"] * 10),
+    ("duplicate_lines", lambda m: m["n_dup_lines"] * 100 > m["n_lines"] * 40),
+    ("short_words", lambda m: m["word_chars"] < m["n_words"] * 2),
+    ("long_words", lambda m: m["word_chars"] > m["n_words"] * 20),
 ]
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
@@ -60,35 +61,29 @@ def covered(starts: Column, width: int) -> Column:
     return F.aggregate(let(starts, gaps), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns MEASURES (long) in place of the text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rest = [c for c in docs.columns if c != text and c not in MEASURES]
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(
-        *rest,
-        F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("_w"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        lines.alias("_l"),
-    )
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(WINDOW))))
-    out = out.select(
-        *rest,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= WINDOW, hashes).alias("_h"),
-    )
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    n_repeat = F.when(repeats, covered(repeated_positions(F.col("_h")), WINDOW)).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("n_repeat_words", n_repeat).select(*rest, *MEASURES)
-
-
-def fail_bits() -> Column:
+def measures(text: Column) -> Column:
+    """Struct of MEASURES (long). Every part is bound once, so the optimizer may move the whole but never repeat it for an element."""
+    t = F.coalesce(text, F.lit(""))
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
+    repeated = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(repeated_positions(h), WINDOW)).otherwise(F.lit(0).cast("long"))
+
+    def of_words(w: Column) -> Column:
+        n_repeat = F.when(F.size(w) >= WINDOW, let(hashes(w), repeated)).otherwise(F.lit(0).cast("long"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat.alias("n_repeat_words"))
+
+    def of_lines(lines: Column) -> Column:
+        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
+
+    words = let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), of_words)
+    lines = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), of_lines)
+    symbols = F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long")
+    parts = F.struct(words.alias("w"), lines.alias("l"), symbols.alias("n_symbols"))
+    return let(parts, lambda p: F.struct(p["w"]["n_words"].alias("n_words"), p["w"]["word_chars"].alias("word_chars"), p["n_symbols"].alias("n_symbols"), p["l"]["n_lines"].alias("n_lines"), p["l"]["n_dup_lines"].alias("n_dup_lines"), p["w"]["n_repeat_words"].alias("n_repeat_words")))
+
+
+def fail_bits(m: Column) -> Column:
     """One bit for each rule that the measures fail."""
-    bits = [F.when(F.expr(when), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, when in RULES]
+    bits = [F.when(fails(m), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, fails in RULES]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
@@ -96,14 +91,15 @@ def fail_bits() -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Measures and fail_bits of every document: the one pass over the texts."""
-    return measure(docs, text).withColumn("fail_bits", fail_bits())
+    """docs with MEASURES and fail_bits in place of the text: the one pass over the texts. Columns of these names give way."""
+    rest = [c for c in docs.columns if c not in (text, *MEASURES, "fail_bits")]
+    judged = let(measures(F.col(text)), lambda m: F.struct(*[m[k].alias(k) for k in MEASURES], fail_bits(m).alias("fail_bits")))
+    return docs.select(*rest, judged.alias("_m")).select(*rest, "_m.*")
 
 
 def keep_good(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that the policy does not reject."""
-    judged = ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
-    return judged.where(F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0).select("_row.*")
+    return docs.where(let(measures(F.col(text)), fail_bits).bitwiseAND(F.lit(policy.mask)) == 0)
 
 
 def judge(ledger: DataFrame, policy: Policy) -> DataFrame:
