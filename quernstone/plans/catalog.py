@@ -1,7 +1,8 @@
-"""Query name -> callable and, where SQL can express it, the equivalent SQL."""
+"""All queries of the library: name -> callable and, where SQL can express it, the equivalent SQL."""
 
 from __future__ import annotations
 
+from . import corpus, scoring  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "contaminated_documents"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
