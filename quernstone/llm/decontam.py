@@ -184,9 +184,8 @@ class Index:
                 yield int(item), starts
 
 
-def _search(index_of):
+def _search(index: Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index: Index = index_of.value
         get = index.vocabulary.get
         for batch in batches:
             rows, found = [], {}
@@ -227,13 +226,12 @@ def _search(index_of):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> a row for each document and item that it holds: n_item_words,
     start_word (of the nearest window; from 0) and edit_distance."""
-    spark = docs.sparkSession
     n_words = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-int(n_words) // (6 * PART_WORDS)))
     out = None
     for part in range(parts):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows]))
+        index = Index([(r[0], r[1]) for r in rows])
         found = docs.select("doc_id", "text").mapInPandas(_search(index), _SCHEMA)
         out = found if out is None else out.union(found)
     return out
