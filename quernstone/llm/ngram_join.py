@@ -36,6 +36,8 @@ N = 3
 #: Similarity as a fraction: intersection / union >= NUM / DEN.
 NUM, DEN = 9, 10
 SKETCH_LONGS = 4
+#: Sets above this size also have a sketch of 4,096 bits, as a small one is full; it filters pairs, not postings.
+WIDE_FROM = 600
 #: Block of documents within which a shingle is counted, in shingles, and the count from which it is reported.
 BLOCK, REPORT = 1_000_000, 4
 #: Shingles that the order knows as frequent, at most; a bound on what is broadcast, not on what is compared.
@@ -163,8 +165,9 @@ def _prefixes(n: int, late: np.ndarray):
                     early = np.concatenate([early, rest[: probe - len(early)]])
                 sketch = np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)).view(np.int64)
                 group = np.frombuffer(xxhash.xxh128_digest(early.tobytes()), np.int64)
-                rows.append((doc_id, size, int(key[0]), int(key[1]), int(group[0]), int(group[1]), early.view(np.int64), sketch))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k0", "k1", "p0", "p1", "prefix", "sketch"])
+                wide = np.packbits((np.bincount((s >> np.uint64(52)).astype(np.int64), minlength=4096) & 1).astype(np.uint8)).view(np.int64) if size > WIDE_FROM else None
+                rows.append((doc_id, size, int(key[0]), int(key[1]), int(group[0]), int(group[1]), early.view(np.int64), sketch, wide))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k0", "k1", "p0", "p1", "prefix", "sketch", "wide"])
 
     return run
 
@@ -223,7 +226,7 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     seen = Staged(docs.select("text").mapInPandas(_frequent(n), "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df")), batch=1000).df
     late = np.array([r["token"] for r in seen.orderBy(F.desc("df"), "token").limit(ORDERED).collect()][::-1], np.int64).view(np.uint64)
-    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>"), batch=1000).df
+    made = Staged(docs.mapInPandas(_prefixes(n, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>, wide array<bigint>"), batch=1000).df
     keys = Staged(made.groupBy("k0", "k1").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))).df
     slim = made.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("size"), "p0", "p1", "sketch", "k0", "k1")
     nodes = Staged(slim.join(keys, ["k0", "k1"]).where("doc_id = node").select("node", "size", "p0", "p1", "sketch", "copies").dropDuplicates(["node"])).df
@@ -237,7 +240,7 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     centres = posts.groupBy("token").agg(F.max(F.struct("members", F.xxhash64("token", "leader").alias("h"), "leader")).alias("m")).select("token", F.col("m.leader").alias("centre"))
     # first star: members with their group's leader, groups' leaders with their tokens' centres
     pairs = member_of.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).union(posts.join(centres, "token").where("leader <> centre").select("leader", "centre"))
-    every = links(_nearest(_sketched(pairs.distinct(), member_of)), docs, n).df
+    every = links(_nearest(_wide(_sketched(pairs.distinct(), member_of), made)), docs, n).df
     comps = Staged(components(every)).df
     for k in range(STAR_ROUNDS):
         last = k == STAR_ROUNDS - 1
@@ -249,10 +252,10 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
         if last:
             full = Staged(opened.select("token", "pos", "node", "comp").join(named.select("node", "size", "sketch"), "node")).df
             near = full.alias("a").join(full.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _close("a", "b"))
-            pairs = near.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+            pairs = _wide(near.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), made)
         else:
             pairs = opened.where("node <> centre AND comp <> centre_comp").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-            pairs = _nearest(_sketched(pairs, member_of))
+            pairs = _nearest(_wide(_sketched(pairs, member_of), made))
         every = every.union(links(pairs, docs, n).df)
         comps = Staged(components(every)).df
     of_key = keys.join(comps, "node", "left").select("k0", "k1", "copies", F.coalesce("component", "node").alias("component_id"))
@@ -272,6 +275,17 @@ def _sketched(pairs: DataFrame, member_of: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").where(ok).select("u", "v", far.alias("far"))
 
 
+def _wide(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of nodes, those that the wide sketches allow, where both have one."""
+    w = made.where("wide IS NOT NULL").dropDuplicates(["doc_id"])
+    x = w.select(F.col("doc_id").alias("u"), F.struct(F.col("n_shingles").alias("size"), "wide").alias("a"))
+    y = w.select(F.col("doc_id").alias("v"), F.struct(F.col("n_shingles").alias("size"), "wide").alias("b"))
+    total = "(a.size + b.size)"
+    far = F.aggregate(F.zip_with("a.wide", "b.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    ok = far <= F.expr(f"{total} - 2 * (({NUM} * {total} + {NUM + DEN - 1}) div {NUM + DEN})")
+    return pairs.join(x, "u", "left").join(y, "v", "left").where(F.col("a").isNull() | F.col("b").isNull() | ok).drop("a", "b")
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """For each u the v that looks nearest; what this leaves out, the last round sees if it would join components."""
     return pairs.groupBy("u").agg(F.min(F.struct("far", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
