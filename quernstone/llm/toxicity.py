@@ -138,33 +138,38 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[set[str], int]]) -> tuple[list[str], np.ndarray, float]:
-    """rows: (words that are features, label). Words, their weights and the intercept of a logistic regression on words' presence."""
-    n = np.array([sum(y == k for _, y in rows) for k in (0, 1)], float)
-    if n.min() == 0:
-        return [], np.zeros(0), -20.0 if n[1] == 0 else 20.0
-    seen = (Counter(), Counter())
-    for words, y in rows:
-        seen[y].update(words)
-    words = sorted({*seen[0], *seen[1]})
-    place = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(rows), len(words)))
-    for i, (own, _) in enumerate(rows):
-        x[i, [place[w] for w in own if w in place]] = 1
-    y = np.array([k for _, k in rows], float)
-    design = np.hstack([x, np.ones((len(rows), 1))])
-    penalty = np.full(len(words) + 1, PENALTY)
+def fit(has: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression, by Newton's method. has: (rows, features) of 0 and 1 in bytes; rows are widened a block at a time."""
+    width = has.shape[1] + 1
+    penalty = np.full(width, PENALTY)
     penalty[-1] = 1e-6
-    weights = np.zeros(len(words) + 1)
-    for _ in range(25):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        gradient = design.T @ (p - y) + penalty * weights
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+    weights = np.zeros(width)
+    for _ in range(25):
+        gradient, hessian = penalty * weights, np.diag(penalty)
+        for at in range(0, len(has), 4096):
+            x = np.ones((len(has[at : at + 4096]), width))
+            x[:, :-1] = has[at : at + 4096]
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            gradient += x.T @ (p - toxic[at : at + 4096])
+            hessian += (x * (p * (1 - p))[:, None]).T @ x
         step = np.linalg.solve(hessian, gradient)
         weights -= step
         if np.abs(step).max() < 1e-6:
             break
-    return words, weights[:-1], float(weights[-1])
+    return weights[:-1], float(weights[-1])
+
+
+def _presence(features: list[str]):
+    place = {w: i for i, w in enumerate(features)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = np.zeros((len(batch), len(features)), np.uint8)
+            for i, words in enumerate(batch["words"]):
+                bits[i, [place[w] for w in words if w in place]] = 1
+            yield pd.DataFrame({"toxic": batch["toxic"], "bits": [x.tobytes() for x in np.packbits(bits, axis=1)]})
+
+    return run
 
 
 def _restored(grams: np.ndarray):
@@ -192,8 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, grams: np.ndarray) -> tuple[list[s
     odds = f"abs(ln((a + 0.5) / ({n1} - a + 0.5)) - ln((b + 0.5) / ({n0} - b + 0.5)))"
     spread = f"sqrt(1 / (a + 0.5) + 1 / ({n1} - a + 0.5) + 1 / (b + 0.5) + 1 / ({n0} - b + 0.5))"
     features = [r["w"] for r in often.orderBy(F.expr(f"-({odds}) / {spread}"), "w").limit(FEATURES).select("w").collect()]
-    slim = rows.select("toxic", F.array_intersect("words", F.array(*[F.lit(w) for w in features]).cast("array<string>")).alias("words"))
-    return fit([(set(r["words"]), int(r["toxic"] == 1)) for r in slim.collect()])
+    got = rows.mapInPandas(_presence(features), "toxic int, bits binary").orderBy("bits", "toxic").collect()
+    has = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1, count=len(features))
+    return (features, *fit(has, np.array([r["toxic"] == 1 for r in got], float)))
 
 
 def _score(grams: np.ndarray, words: list[str], weights: np.ndarray, intercept: float):
