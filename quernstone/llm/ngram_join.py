@@ -43,6 +43,8 @@ BLOCK, REPORT = 1_000_000, 4
 #: Shingles that the order knows as frequent, at most; a bound on what is broadcast, not on what is compared.
 ORDERED = 1 << 17
 STAR_ROUNDS = 2
+#: Members from which a group has pairs without its leader.
+INNER = 3
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Base of the words' polynomial hash, odd, and its inverse modulo 2**64.
 _BASE = 0xD6E8FEB86659FD93
@@ -233,10 +235,12 @@ def cluster(docs: DataFrame, n: int = N) -> DataFrame:
     groups = nodes.groupBy("size", "p0", "p1").agg(F.min("node").alias("gid"), F.count("*").alias("members"), F.max(F.struct(F.col("copies"), (-F.col("node")).alias("minus_node"))).alias("lead"))
     groups = Staged(groups.withColumn("leader", -F.col("lead.minus_node")).drop("lead")).df
     member_of = Staged(nodes.join(groups.select("size", "p0", "p1", "gid", "leader"), ["size", "p0", "p1"]).select("node", "gid", "leader", "size", "sketch")).df
-    # every token of every group's prefix; those of one group only end here, with 16 bytes moved for each
+    # every token of every group's prefix; those of one group only end here, with 16 bytes moved for each. A group whose
+    # members may be linked past their leader keeps its first token, in which all of them meet in the later rounds
     tokens = made.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid"), "gid", "left_semi").select("gid", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    posts = Staged(tokens.join(shared, "token").dropDuplicates(["token", "gid"]).join(groups.select("gid", "members", "leader"), "gid")).df
+    inner = tokens.where("pos = 0").join(groups.where(f"members >= {INNER}").select("gid"), "gid", "left_semi").select("gid", "pos", "token")
+    posts = Staged(tokens.join(shared, "token").select("gid", "pos", "token").union(inner).dropDuplicates(["token", "gid"]).join(groups.select("gid", "members", "leader"), "gid")).df
     centres = posts.groupBy("token").agg(F.max(F.struct("members", F.xxhash64("token", "leader").alias("h"), "leader")).alias("m")).select("token", F.col("m.leader").alias("centre"))
     # first star: members with their group's leader, groups' leaders with their tokens' centres
     pairs = member_of.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).union(posts.join(centres, "token").where("leader <> centre").select("leader", "centre"))

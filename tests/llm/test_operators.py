@@ -227,6 +227,22 @@ def test_ngram_join_matches_brute_force(spark):
     assert ngram_join.op10_ngram_join(empty(spark)).count() == 0
 
 
+def test_ngram_join_links_members_of_one_group_past_their_leader(spark):
+    """Three texts of equal size and prefix, whose tokens no other text has: the first is below 0.9 to both others."""
+    rng = random.Random(7)
+    powers = ngram_join._Powers()
+    while True:
+        first = ["q%d" % rng.randrange(10**6) for _ in range(52)]
+        second = first[:25] + ["mid%d" % rng.randrange(10**6)] + first[26:]
+        third = second[:-1] + ["end%d" % rng.randrange(10**6)]
+        rows = [(i, " ".join(w)) for i, w in enumerate((first, second, third), 1)]
+        sets = list(ngram_join.shingle_sets([t for _, t in rows], 3, powers))
+        if len({tuple(s[:6]) for s in sets}) == 1 and {len(s) for s in sets} == {50}:
+            break
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op10_ngram_join(frame(spark, rows)).collect()}
+    assert got == _components(rows) == {1: (50, 1), 2: (50, 2), 3: (50, 2)}
+
+
 def test_licenses_match_brute_force(spark):
     rows = EDGE + [(20, "Licensed under the Apache License, Version 2.0. All rights\nreserved"), (21, "cc-by cc by CC BY-NC-ND"), (22, "ccc by"), (23, "Released under the MIT License\nReleased under the license"), (24, "Licensed under CC BY-NC 4.0"), (25, "general public  license general")]
     got = by_id(licenses.op6_licenses(frame(spark, rows)))
