@@ -7,9 +7,10 @@ m consecutive words, or the whole document if it is shorter, is within k = floor
    many of the item's trigrams are embedded. This loses no match.
 2. CGK embedding: a random walk reads the window; at step j it writes the word under its pointer and moves on by a
    random bit of (j, word). Edits then show as a bounded number of differing places (Hamming distance).
-3. LSH: each of R repetitions has a walk of its own and compares SAMPLED places of it. R is chosen so that items with
-   k simulated edits collide with probability RECALL.
-4. Windows that collide are verified by the exact edit distance, in a band of k.
+3. LSH: each of REPETITIONS repetitions has a walk of its own and compares SAMPLED places of it. Windows that collide
+   come first; equal ones always do.
+4. Every window is verified by the exact edit distance: those that collide in a band of k, then all others in a band
+   of the least distance found so far, unless that is 0. So LSH saves work and loses no match, whatever an item's length.
 
 The benchmark is read in parts of at most PART_WORDS words, each a pass over the documents, so what travels to the
 executors is bounded whatever the benchmark's size.
@@ -32,13 +33,12 @@ from pyspark.sql import functions as F
 from .common import Staged, small
 
 TOLERANCE = 0.2
-RECALL = 0.99
 MIN_WORDS = 8
 SAMPLED = 3
-MAX_REPETITIONS = 64
+REPETITIONS = 4
 PART_WORDS = 8_000_000
-#: Items, at most, on which the number of repetitions is set by simulation.
-CALIBRATION_ITEMS = 64
+#: Cells of windows that are verified at once.
+CELLS = 1 << 21
 SEED = 20_240_229
 _TOKEN = re.compile(r"[^\W_]+")
 _SCHEMA = "doc_id bigint, item_id bigint, n_item_words int, start_word int, edit_distance int"
@@ -93,30 +93,30 @@ def embed(windows: np.ndarray, repetitions: int) -> np.ndarray:
     return out
 
 
-def repetitions_for(items: list[np.ndarray], vocabulary: int) -> int:
-    """Repetitions after which a window of k simulated edits has collided with probability RECALL."""
-    rng = np.random.default_rng(SEED)
-    hits = total = 0
-    for item in items[:CALIBRATION_ITEMS]:
-        m, k = len(item), int(TOLERANCE * len(item))
-        edited = []
-        for _ in range(8):
-            w = item.tolist()
-            for _ in range(k):
-                p, what = int(rng.integers(len(w))), int(rng.integers(3))
-                if what == 0:
-                    w[p] = vocabulary + 1 + int(rng.integers(1 << 20))
-                elif what == 1:
-                    w.insert(p, vocabulary + 1 + int(rng.integers(1 << 20)))
-                elif len(w) > 1:
-                    del w[p]
-            edited.append((w + [0] * m)[:m])
-        near = embed(np.array(edited), 16)
-        own = embed(item[None, :], 16)
-        hits += int((near == own).sum())
-        total += near.size
-    p = min(max(hits / total if total else 1.0, 1e-3), 0.999)
-    return int(np.clip(np.ceil(np.log(1 - RECALL) / np.log(1 - p)), 4, MAX_REPETITIONS))
+def distances(windows: np.ndarray, lengths: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
+    """Word edits from each row of windows (of which the first lengths words count) to the same row of items, or k + 1
+    if more than k. Place o of a row of the band is column i + o - k of row i of the table."""
+    c, m = items.shape
+    band = np.arange(2 * k + 1, dtype=np.int32)
+    far = np.int32(2 * (m + k) + 2)
+    out = np.full(c, k + 1, np.int64)
+    own = np.flatnonzero(lengths >= m - k)
+    padded = np.full((len(own), m + 2 * k), -1, np.int64)
+    padded[:, k : k + m] = windows[own]
+    items = items[own]
+    before = np.tile(np.where(band >= k, band - k, far).astype(np.int32), (len(own), 1))
+    for i in range(m):
+        row = before + (padded[:, i : i + 2 * k + 1] != items[:, i : i + 1])
+        row[:, :-1] = np.minimum(row[:, :-1], before[:, 1:] + 1)
+        before = np.minimum.accumulate(row - band, axis=1) + band
+        if i % 8 == 7:
+            alive = before.min(axis=1) <= k
+            if 2 * alive.sum() < len(alive):
+                own, padded, items, before = own[alive], padded[alive], items[alive], before[alive]
+                if not len(own):
+                    return out
+    out[own] = np.minimum(before[np.arange(len(own)), lengths[own] - m + k], k + 1)
+    return out
 
 
 class Index:
@@ -144,8 +144,7 @@ class Index:
         self.mask = (1 << max(16, int(4 * len(self.grams)).bit_length())) - 1
         self.maybe = np.zeros(self.mask + 1, bool)
         self.maybe[self.slot(self.grams)] = True
-        self.repetitions = repetitions_for(self.items, len(self.vocabulary))
-        self.hashes = [embed(t[None, :], self.repetitions)[0] for t in self.items]
+        self.hashes = [embed(t[None, :], REPETITIONS)[0] for t in self.items]
 
     @staticmethod
     def codes(ids: np.ndarray) -> np.ndarray:
@@ -202,22 +201,26 @@ def _search(index: Index):
                     windows = np.where(place < len(ids), ids[np.minimum(place, len(ids) - 1)], -1)
                     found.setdefault(m, []).append((doc_id, item, starts, windows, len(ids)))
             for m, own in found.items():
-                windows = np.concatenate([w for *_, w, _ in own])
-                near = np.concatenate([embed(windows[i : i + 65_536], index.repetitions) for i in range(0, len(windows), 65_536)])
-                at = 0
-                for doc_id, item, starts, w, length in own:
-                    alike = np.flatnonzero((near[at : at + len(w)] == index.hashes[item]).any(axis=1))
-                    at += len(w)
-                    k, target = int(TOLERANCE * m), index.items[item].tolist()
-                    best = (k + 1, 0)
-                    same = (w[alike] != index.items[item]).sum(axis=1)
-                    for j in alike[np.argsort(same, kind="stable")]:
-                        if best[0] == 0:
-                            break
-                        a = w[j][: max(0, length - int(starts[j]))].tolist()
-                        best = min(best, (edit_distance(a, target, best[0] if best[0] <= k else k), int(starts[j])))
-                    if best[0] <= k:
-                        rows.append((doc_id, index.ids[item], m, best[1], best[0]))
+                k = int(TOLERANCE * m)
+                windows, starts = np.concatenate([w for *_, w, _ in own]), np.concatenate([s for _, _, s, _, _ in own])
+                pair = np.repeat(np.arange(len(own)), [len(s) for _, _, s, _, _ in own])
+                lengths = np.minimum(np.array([n for *_, n in own])[pair] - starts, m)
+                items, hashes = np.array([index.items[i] for _, i, *_ in own]), np.array([index.hashes[i] for _, i, *_ in own])
+                near = np.concatenate([embed(windows[i : i + 65_536], REPETITIONS) for i in range(0, len(windows), 65_536)])
+                alike = (near == hashes[pair]).any(axis=1)
+                distance, best = np.full(len(windows), k + 1), np.full(len(own), k)
+
+                def verify(which, limit):
+                    for at in np.array_split(which, -(-len(which) * (m + 2 * limit) // CELLS) or 1):
+                        distance[at] = distances(windows[at], lengths[at], items[pair[at]], limit)  # noqa: B023
+
+                verify(np.flatnonzero(alike), k)
+                np.minimum.at(best, pair, distance)
+                for limit in np.unique(best[best > 0]).tolist():
+                    verify(np.flatnonzero(~alike & (best[pair] == limit)), limit)
+                order = np.lexsort((starts, distance, pair))
+                first = order[np.searchsorted(pair, np.arange(len(own)))]
+                rows += [(d, index.ids[i], m, int(starts[j]), int(distance[j])) for (d, i, *_), j in zip(own, first, strict=True) if distance[j] <= k]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item_words", "start_word", "edit_distance"])
 
     return run

@@ -188,6 +188,30 @@ def test_decontamination_matches_brute_force(spark):
     assert {r.doc_id for r in decontam.decontaminate(frame(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_decontamination_finds_long_items_at_the_limit(spark):
+    """Short items have the smallest ids; each long item is planted with as many edits as are tolerated."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"s{rng.randrange(10**6)}" for _ in range(9))) for i in range(70)]
+    rows = []
+    for i in range(100, 140):
+        m = (30, 120, 250)[i % 3]
+        item = [f"i{rng.randrange(10**6)}" for _ in range(m)]
+        items.append((i, " ".join(item)))
+        w = list(item)
+        for p in sorted(rng.sample(range(1, m - 1), m // 10), reverse=True):
+            del w[p]
+        for _ in range(m // 10):
+            w.insert(rng.randrange(1, len(w)), f"n{rng.randrange(10**6)}")
+        rows.append((i, " ".join(["x"] * 5 + w + ["y"] * 5)))
+    got = {(r.doc_id, r.item_id): r for r in decontam.op5_decontamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(d, d) for d, _ in rows}
+    by_item, texts = dict(items), dict(rows)
+    for (d, i), r in list(got.items())[:6]:
+        w, item = texts[d].split(), by_item[i].split()
+        k = len(item) // 5
+        assert (r.edit_distance, r.start_word) == min((decontam.edit_distance(w[s : s + len(item)], item, k), s) for s in range(len(w) - len(item) + 1))
+
+
 def _components(rows):
     sets, parent = {}, {}
     for d, t in rows:
