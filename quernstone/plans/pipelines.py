@@ -158,12 +158,12 @@ def surface_baseline(spark, d):
 
 @query("style_leak")
 def style_leak(spark, d):
-    """How well hashed character trigrams tell the classes apart: accuracy on held-out rows of a logistic regression."""
+    """How well hashed character trigrams of whole texts tell the classes apart: accuracy on held-out rows of a logistic regression."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, NGram
 
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.filter(F.split(F.lower(F.substring("text", 1, 2000)), ""), lambda c: c != "").alias("c"), F.col("quality").cast("double").alias("label"))
+    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("c"), F.col("quality").cast("double").alias("label"))
     x = sampling.fold_of(x, "doc_id", "style", 5)
     model = Pipeline(stages=[NGram(n=3, inputCol="c", outputCol="g"), HashingTF(numFeatures=4096, inputCol="g", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01)]).fit(x.where("fold <> 0"))
     scored_rows = model.transform(x.where("fold = 0"))

@@ -89,6 +89,15 @@ def test_text_functions(spark):
     assert row.w[:2] == ["ab", "c"] and row.s == "Ab ab ab c İI" and row.tr[-1] == "iı" and row.none == []
 
 
+def test_style_leak_reads_whole_texts(spark, tmp_path):
+    """The only mark of a class stands behind 2,500 characters that all texts share."""
+    rows = [(i, "word " * 500 + ("!?" * 40 if i % 2 else "calm end " * 9)) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.label: r.recall for r in catalog.QUERIES["style_leak"](spark, str(tmp_path)).collect()}
+    assert got == {0.0: 1.0, 1.0: 1.0}
+
+
 def test_library_does_not_need_the_subpackage():
     code = "import sys; sys.modules['quernstone.llm'] = None; sys.modules['corpus_pipeline'] = None; from quernstone.plans import catalog; print(len(catalog.QUERIES))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 100
