@@ -294,11 +294,17 @@ def boilerplate(spark, d):
 
 @query("stems_jaccard")
 def stems_jaccard(spark, d):
-    """Overlap of five-character stems of a document with its language's function words left out, against each item."""
-    stem = lambda df, key: df.select(key, F.array_distinct(F.transform(F.filter(T.tokens("text"), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 5))).alias("s"))
-    a = stem(table(spark, d, "benchmark"), "item_id").select("item_id", "s", F.explode("s").alias("t"))
-    n = a.alias("x").join(a.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.item_id") < F.col("y.item_id"))).groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg((F.count("*") / (F.first(F.size("x.s")) + F.first(F.size("y.s")) - F.count("*"))).alias("jaccard"))
-    return n.where("jaccard >= 0.05")
+    """Overlap of five-character stems of a document with its language's function words left out, against each item.
+    Items, and documents of other languages, have no language to go by: the function words of all are left out."""
+    listed = F.create_map(*[x for lang, words in T.FUNCTION_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
+    every = F.array(*[F.lit(w) for w in sorted({w for words in T.FUNCTION_WORDS.values() for w in words})])
+    stem = lambda df, key, out: df.select(key, F.array_distinct(F.transform(F.filter(T.tokens("text"), lambda w: (F.length(w) >= 4) & ~F.array_contains(out, w)), lambda w: F.substring(w, 1, 5))).alias("s"))
+    each = lambda df, key, n: df.select(key, F.size("s").alias(n), F.explode("s").alias("t"))
+    x = each(stem(table(spark, d, "documents"), "doc_id", F.coalesce(F.try_element_at(listed, F.col("lang")), every)), "doc_id", "n")
+    y = each(stem(table(spark, d, "benchmark"), "item_id", every), "item_id", "m")
+    # a Jaccard index of 0.05 needs sizes within a factor of 20
+    both = x.join(y, "t").where("n <= 20 * m AND m <= 20 * n").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("both"))
+    return both.select("doc_id", "item_id", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).where("jaccard >= 0.05")
 
 
 @query("row_validation", f"WITH {ANSWERS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN gold IS NULL THEN 'no gold' WHEN abs(p0 + p1 + p2 - 1) > 1e-3 THEN 'sum' WHEN length(track) = 0 THEN 'blank track' ELSE 'ok' END AS reason FROM a) GROUP BY reason")

@@ -98,6 +98,14 @@ def test_style_leak_reads_whole_texts(spark, tmp_path):
     assert got == {0.0: 1.0, 1.0: 1.0}
 
 
+def test_stems_jaccard_compares_documents_with_items(spark, tmp_path):
+    docs = [(1, "Gardens gardening that Windows", "en"), (2, "Gardens gardening that Windows", "fr"), (3, "nothing here alike", "en"), (4, None, "en"), (5, "windows", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "that garden, a window or paper"), (8, "that stone"), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): round(r.jaccard, 6) for r in catalog.QUERIES["stems_jaccard"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 7): 0.666667, (2, 7): 0.5, (5, 7): 0.333333}
+
+
 def test_library_does_not_need_the_subpackage():
     code = "import sys; sys.modules['quernstone.llm'] = None; sys.modules['corpus_pipeline'] = None; from quernstone.plans import catalog; print(len(catalog.QUERIES))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 100
