@@ -9,6 +9,10 @@ template words as T needs) and the positional filter (enough of them from the fi
 the count itself. Templates are a constant of bounded size, so they are part of the plan and the join moves no rows:
 the frequencies, one number for each template word, are all that is gathered.
 
+Notices that wrap have no such line. Of a document whose words meet T together, the runs of as many words as T's text
+has, over lines that follow one another without one that holds no word, are compared with T too, at the same threshold.
+A run counts where none of its lines meets T alone; one that overlaps a run of a wider template is no finding.
+
 Beside it, fixed phrases are found wherever their words follow one another, across lines and punctuation.
 
 Defined results: a null or empty text has no words, no labels and the score 0; first_word and last_word are null
@@ -61,6 +65,8 @@ class Template:
     label: str
     words: tuple[str, ...]
     need: int
+    #: Words of the text, with repeats: the length of a run over several lines.
+    length: int
     #: Places in the list of the templates whose words include all of this one's: where they meet, this one is no finding.
     above: tuple[int, ...] = ()
 
@@ -69,7 +75,7 @@ def templates(listed: list[tuple[str, str]], threshold: float) -> list[Template]
     out = []
     for label, text in listed:
         words = tuple(dict.fromkeys(text.split()))
-        out.append(Template(label, words, math.ceil(threshold * len(words) - 1e-9)))
+        out.append(Template(label, words, math.ceil(threshold * len(words) - 1e-9), len(text.split())))
     inside = lambda t: tuple(i for i, o in enumerate(out) if set(t.words) < set(o.words))
     return [replace(t, above=inside(t)) for t in out]
 
@@ -87,14 +93,46 @@ def _n_words(text: Column) -> Column:
 
 
 def word_blocks(docs: DataFrame, listed: list[Template], text: str = "text") -> DataFrame:
-    """docs with n_words and _blocks: of each line that has enough template words for some template, those words."""
+    """docs with n_words, _blocks: of each line that has enough template words for some template, those words, and
+    _wrapped: (label, score) of the templates that runs over several lines meet."""
     vocabulary = _strings(sorted({w for t in listed for w in t.words}))
     lines = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"{W}+"), F.lit(0)))
     least = min(t.need for t in listed)
     out = docs.withColumn("_lines", lines)
     n_words = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + F.size(x))
-    blocks = F.filter(F.transform("_lines", lambda x: F.array_intersect(x, vocabulary)), lambda b: F.size(b) >= least)
-    return out.withColumns({"n_words": n_words, "_blocks": blocks}).drop("_lines")
+    held = F.transform("_lines", lambda x: F.array_intersect(x, vocabulary))
+    blocks = lambda h: F.filter(h, lambda b: F.size(b) >= least)
+    found = let(held, lambda h: F.struct(blocks(h).alias("blocks"), wrapped(F.col("_lines"), h, listed).alias("wrapped")))
+    out = out.withColumns({"n_words": n_words, "_found": found})
+    return out.withColumns({"_blocks": F.col("_found.blocks"), "_wrapped": F.col("_found.wrapped")}).drop("_lines", "_found")
+
+
+def wrapped(lines: Column, held: Column, listed: list[Template]) -> Column:
+    """Of one document, from the words of its lines and the template words of each: an array of (label, score) of the
+    templates that are met by a run of words over several lines."""
+    table = F.array(*[F.struct(F.lit(t.label).alias("label"), _strings(t.words).alias("words"), F.lit(t.need).alias("need"), F.lit(t.length).alias("length"), F.lit(i).alias("i"), F.array(*[F.lit(a) for a in t.above]).cast("array<int>").alias("above")) for i, t in enumerate(listed)])
+    shares = lambda b, t: F.size(F.array_intersect(b, t["words"]))
+    possible = let(F.array_distinct(F.flatten(held)), lambda b: F.filter(table, lambda t: shares(b, t) >= t["need"]))
+
+    def runs(flat: Column, t: Column) -> Column:
+        starts = F.filter(F.transform(flat, lambda x, i: F.when(F.array_contains(t["words"], x["w"]), i)), lambda i: i.isNotNull())
+
+        def run(part: Column, i: Column) -> Column:
+            first, last = F.get(part, F.lit(0))["line"], F.element_at(part, -1)["line"]
+            over = F.when(last > first, let(F.array_distinct(part["line"]), lambda at: (F.size(at) == last - first + 1) & ~F.exists(at, lambda k: shares(F.get(held, k), t) >= t["need"])))
+            n = F.when(over, shares(part["w"], t))
+            return F.when(n >= t["need"], F.struct(t["label"].alias("label"), (n / F.size(t["words"])).alias("score"), t["i"].alias("i"), t["above"].alias("above"), i.alias("at"), (i + t["length"]).alias("end")))
+
+        return F.filter(F.transform(starts, lambda i: let(F.slice(flat, i + 1, t["length"]), lambda part: run(part, i))), lambda m: m.isNotNull())
+
+    def widest(m: Column) -> Column:
+        return F.filter(m, lambda s: ~F.exists(m, lambda o: F.array_contains(s["above"], o["i"]) & (s["at"] < o["end"]) & (o["at"] < s["end"])))
+
+    flat = F.flatten(F.transform(lines, lambda x, k: F.transform(x, lambda w: F.struct(w.alias("w"), k.alias("line")))))
+    met = lambda ts: let(flat, lambda f: let(F.flatten(F.transform(ts, lambda t: runs(f, t))), widest))
+    each = lambda ts: F.array_distinct(F.transform(met(ts), lambda s: F.struct(s["label"].alias("label"), s["score"].alias("score"))))
+    none = F.array().cast("array<struct<label:string,score:double>>")
+    return F.when(F.size(lines) > 1, let(possible, lambda ts: F.when(F.size(ts) > 0, each(ts)).otherwise(none))).otherwise(none)
 
 
 def frequency_order(blocked: DataFrame, listed: list[Template]) -> list[str]:
@@ -145,9 +183,9 @@ def scan(docs: DataFrame, text: str = "text", listed: list[tuple[str, str]] | No
     blocked = word_blocks(docs, listed_templates, text)
     found = [F.when(t.rlike(_phrase(phrase)), _places(t, phrase, label)) for phrase, label in PHRASES.items()]
     blocked = blocked.withColumn("phrases", F.filter(F.array(*found), lambda x: x.isNotNull()))
-    blocked = Staged(blocked.select(*keep, "n_words", "phrases", "_blocks")).df
+    blocked = Staged(blocked.select(*keep, "n_words", "phrases", "_blocks", "_wrapped")).df
     order = frequency_order(blocked, listed_templates)
-    return blocked.withColumn("licenses", matches(F.col("_blocks"), order, listed_templates)).drop("_blocks")
+    return blocked.withColumn("licenses", F.concat(matches(F.col("_blocks"), order, listed_templates), "_wrapped")).drop("_blocks", "_wrapped")
 
 
 def op6_licenses(docs: DataFrame) -> DataFrame:

@@ -288,6 +288,17 @@ def test_licenses_match_brute_force(spark):
     assert licenses.op6_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_find_notices_that_wrap(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software)"
+    rows = [
+        (1, "Some text\n\n" + mit), (2, " * " + mit.replace("\n", "\n * ")), (3, mit.replace("\n", "\n\n")), (4, "Released under\nthe MIT License"),
+        (5, "released\nwords " + "in between " * 9 + "under the\nMIT license"), (6, "Licensed under CC BY\nNC 4.0"), (7, "Licensed under\nthe Apache License,\nVersion 2.0"), (8, "plain\ntext"),
+    ]
+    got = by_id(licenses.op6_licenses(frame(spark, rows)))
+    assert [got[i].labels for i, _ in rows] == ["mit", "mit", "", "mit", "", "cc-by,cc-by-nc-4.0", "apache-2.0", ""]
+    assert [got[i].score for i in (1, 2, 3, 4, 5, 7, 8)] == [1, 1, 0, 1, 0, 1, 0]
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
