@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +33,49 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, or one of our own where none is set (tests)."""
+    """The folder that driver and executors share: the session's, or one of our own where none is set and all of Spark is in this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quernstone-"))
     return sc.getCheckpointDir()
 
 
+_SCOPE: ContextVar[list[Staged] | None] = ContextVar("_SCOPE", default=None)
+
+
+class Scope:
+    """What passing() gives: tables staged inside it go at its end, but for those that were handed to keep()."""
+
+    def __init__(self, outer: list[Staged] | None):
+        self.outer, self.made = outer, []
+
+    def keep(self, staged: Staged) -> DataFrame:
+        """staged.df; the table belongs to the scope around this one, if there is one."""
+        self.made.remove(staged)
+        if self.outer is not None:
+            self.outer.append(staged)
+        return staged.df
+
+
+@contextmanager
+def passing() -> Iterator[Scope]:
+    """Bounds the disk that an operator needs: its own tables last until its result is written."""
+    scope = Scope(_SCOPE.get())
+    token = _SCOPE.set(scope.made)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        for staged in scope.made:
+            staged.drop()
+
+
 class Staged:
-    """A table written to the shared folder: it cuts lineage, survives lost executors, and is computed once."""
+    """A table written to the shared folder: it cuts lineage, survives lost executors, and is computed once. It stays
+    until it is dropped, by hand or by the passing() around it."""
 
     def __init__(self, df: DataFrame, batch: int | None = None):
         """batch: rows that an Arrow function gets at once, where they are wide."""
@@ -53,6 +89,8 @@ class Staged:
         finally:
             self.spark.conf.set(_BATCH, before)
         self.schema = df.schema
+        if (made := _SCOPE.get()) is not None:
+            made.append(self)
 
     @property
     def df(self) -> DataFrame:

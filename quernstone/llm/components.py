@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     the pair of steps ends, after about log(diameter) rounds, in stars around each component's least node. Nodes
     without edges are not returned. Hot nodes only ever meet in a min with partial aggregation and a join that AQE can
     split."""
-    now = Staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, same = Staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = _directed(now.df)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,12 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         nxt = Staged(small.where("u <> v").distinct())
-        same = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same_next = nxt.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, same = same, nxt.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         large.drop()
         now.drop()
         now = nxt
-        if same == same_next:
+        if before == same or not same[0]:
             break
     stars = now.df
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after further edges(u, v): only the components that these touch are worked on."""
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    new = Staged(components(between)).df
+    old = comps.join(new.toDF("component", "joined"), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return old.union(new.join(comps.select("node"), "node", "left_anti"))

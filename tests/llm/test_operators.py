@@ -212,11 +212,12 @@ def test_decontamination_finds_long_items_at_the_limit(spark):
         assert (r.edit_distance, r.start_word) == min((decontam.edit_distance(w[s : s + len(item)], item, k), s) for s in range(len(w) - len(item) + 1))
 
 
-def _components(rows):
-    sets, parent = {}, {}
+def _components(rows, n=3, num=90, den=100):
+    """(doc_id, text) -> per row (doc_id, set size, component); rows of one id are one document, rows without one link with nothing."""
+    sets, parent = [], {}
     for d, t in rows:
         w = WORDS.findall((t or "").translate(LOWER))
-        sets[d] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        sets.append((d, frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
         parent[d] = d
 
     def find(x):
@@ -224,14 +225,18 @@ def _components(rows):
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
+    known = [x for x in sets if x[0] is not None]
+    for i, (d, a) in enumerate(known):
+        for e, b in known[:i]:
+            both = len(a & b)
+            if both and den * both >= num * (len(a) + len(b) - both):
+                x, y = sorted((find(d), find(e)))
                 parent[y] = x
-    return {d: (len(sets[d]), find(d)) for d in ids}
+    return sorted(((d, len(s), None if d is None else find(d) if s else d) for d, s in sets), key=str)
+
+
+def _joined(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=str)
 
 
 def test_ngram_join_matches_brute_force(spark):
@@ -244,13 +249,42 @@ def test_ngram_join_matches_brute_force(spark):
             w[rng.randrange(len(w))] = "z%d" % rng.randrange(50)
         rows.append((100 + n, " ".join(w)))
     rows += [(900, "A  b\tC"), (901, "a b c"), (902, "one"), (903, "ONE TWO")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op10_ngram_join(frame(spark, rows)).collect()}
-    assert got == _components(rows)
+    want = _components(rows)
+    assert _joined(ngram_join.op10_ngram_join(frame(spark, rows))) == want
     kept = ngram_join.keep_one(frame(spark, rows + [(100, rows[12][1])]))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
+    assert kept.columns == ["doc_id", "text", "source", "n_words"]
     assert ngram_join.op10_ngram_join(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n, num, den", [(3, 9, 10), (5, 8, 10)])
+def test_ngram_join_matches_brute_force_on_many_families(spark, n, num, den):
+    """Small families of small edits, most of them of equal size, whose tokens no other family has."""
+    rng = random.Random(n)
+    rows = []
+    for f in range(60):
+        family = [["f%d-%d" % (f, rng.randrange(10**6)) for _ in range(rng.randint(12, 70))]]
+        for _ in range(rng.randint(1, 5)):
+            w = list(rng.choice(family))
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "z%d" % rng.randrange(10**6)
+            family.append(w)
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate(family)]
+    assert _joined(ngram_join.cluster(frame(spark, rows), n, num, den)) == _components(rows, n, num, den)
+
+
+def test_ngram_join_of_null_large_and_repeated_ids(spark):
+    far = 2**53
+    same = " ".join("t%d" % i for i in range(40))
+    other = " ".join("u%d" % i for i in range(40))
+    rows = [(None, same), (far + 1, same), (far + 3, same), (None, None), (5, same), (5, other), (9, other), (12, other + " more"), (5, "alone"), (7, "alone"), (8, "lonely"), (None, "lonely")]
+    want = _components(rows)
+    assert _joined(ngram_join.op10_ngram_join(frame(spark, rows))) == want
+    assert (far + 1, 38, 5) in want and (12, 39, 5) in want and (7, 1, 5) in want and (8, 1, 8) in want
+    kept = [r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == [5, 8, None, None, None]
+
+
 def test_ngram_join_links_members_of_one_group_past_their_leader(spark):
     """Three texts of equal size and prefix, whose tokens no other text has: the first is below 0.9 to both others."""
     rng = random.Random(7)
@@ -263,8 +297,7 @@ def test_ngram_join_links_members_of_one_group_past_their_leader(spark):
         sets = list(ngram_join.shingle_sets([t for _, t in rows], 3, powers))
         if len({tuple(s[:6]) for s in sets}) == 1 and {len(s) for s in sets} == {50}:
             break
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op10_ngram_join(frame(spark, rows)).collect()}
-    assert got == _components(rows) == {1: (50, 1), 2: (50, 2), 3: (50, 2)}
+    assert _joined(ngram_join.op10_ngram_join(frame(spark, rows))) == _components(rows) == [(1, 50, 1), (2, 50, 2), (3, 50, 2)]
 
 
 def test_licenses_match_brute_force(spark):
