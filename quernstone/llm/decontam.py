@@ -1,7 +1,8 @@
 """Benchmark decontamination by edit distance: CGK embedding, bit-sampling LSH and exact verification.
 
 Symbols are words (lower-cased runs of letters and digits). An item of m words is found in a document if some window of
-m consecutive words, or the whole document if it is shorter, is within k = floor(TOLERANCE * m) word edits of it.
+m consecutive words, or the whole document if it is shorter, is within k word edits of it: k = floor(TOLERANCE * m), and
+0 for items of fewer than EDITS_FROM words, where one edit makes another sentence.
 
 1. Windows: an item within k edits shares at least m - 2 - 3k word trigrams with its window, so only windows with that
    many of the item's trigrams are embedded. This loses no match.
@@ -15,9 +16,10 @@ m consecutive words, or the whole document if it is shorter, is within k = floor
 The benchmark is read in parts of at most PART_WORDS words, each a pass over the documents, so what travels to the
 executors is bounded whatever the benchmark's size.
 
-Defined results: a null or empty text has no words and matches nothing; items of fewer than MIN_WORDS words match only
-documents whose words equal theirs; equal items match each on its own; repeated documents match each on its own; an
-empty table gives an empty result; other columns are not looked at.
+Defined results: a null or empty text has no words and matches nothing; items of one or two words, which any text may
+hold, match only documents whose words equal theirs; equal items match each on its own, repeated documents and those
+without an id too; of windows at one distance the first counts; an empty table gives an empty result; other columns, also
+of the benchmark, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staged, small
 
 TOLERANCE = 0.2
-MIN_WORDS = 8
+EDITS_FROM = 8
+#: Words of the shortest items that are looked for inside texts.
+WINDOW_FROM = 3
 SAMPLED = 3
 REPETITIONS = 4
 PART_WORDS = 8_000_000
@@ -42,12 +46,18 @@ CELLS = 1 << 21
 SEED = 20_240_229
 _TOKEN = re.compile(r"[^\W_]+")
 _SCHEMA = "doc_id bigint, item_id bigint, n_item_words int, start_word int, edit_distance int"
+_COLUMNS = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item_words", pa.int32()), ("start_word", pa.int32()), ("edit_distance", pa.int32())]
 
 
 def words_of(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
+def tolerance(m: int) -> int:
+    """Edits within which an item of m words is found."""
+    return int(TOLERANCE * m) if m >= EDITS_FROM else 0
+
+
 def edit_distance(a, b, k: int) -> int:
     """Word edits from a to b, or k + 1 if more than k."""
     if abs(len(a) - len(b)) > k:
@@ -127,13 +137,13 @@ class Index:
         words = [(i, w) for i, w in words if w]
         self.short: dict[tuple[str, ...], list[int]] = {}
         for i, w in words:
-            if len(w) < MIN_WORDS:
+            if len(w) < WINDOW_FROM:
                 self.short.setdefault(tuple(w), []).append(i)
-        words = [(i, w) for i, w in words if len(w) >= MIN_WORDS]
+        words = [(i, w) for i, w in words if len(w) >= WINDOW_FROM]
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in words]
         self.items = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64) for _, w in words]
-        self.need = np.array([len(t) - 2 - 3 * int(TOLERANCE * len(t)) for t in self.items], np.int64)
+        self.need = np.array([len(t) - 2 - 3 * tolerance(len(t)) for t in self.items], np.int64)
         codes = [np.unique(self.codes(t)) for t in self.items]
         flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -184,13 +194,13 @@ class Index:
 
 
 def _search(index: Index):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocabulary.get
         for batch in batches:
             rows, found = [], {}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
                 words = words_of(text)
-                if index.short and len(words) < MIN_WORDS:
+                if index.short and len(words) < WINDOW_FROM:
                     rows += [(doc_id, i, len(words), 0, 0) for i in index.short.get(tuple(words), ())]
                 if len(words) < 3 or not index.items:
                     continue
@@ -201,7 +211,7 @@ def _search(index: Index):
                     windows = np.where(place < len(ids), ids[np.minimum(place, len(ids) - 1)], -1)
                     found.setdefault(m, []).append((doc_id, item, starts, windows, len(ids)))
             for m, own in found.items():
-                k = int(TOLERANCE * m)
+                k = tolerance(m)
                 windows, starts = np.concatenate([w for *_, w, _ in own]), np.concatenate([s for _, _, s, _, _ in own])
                 pair = np.repeat(np.arange(len(own)), [len(s) for _, _, s, _, _ in own])
                 lengths = np.minimum(np.array([n for *_, n in own])[pair] - starts, m)
@@ -221,7 +231,8 @@ def _search(index: Index):
                 order = np.lexsort((starts, distance, pair))
                 first = order[np.searchsorted(pair, np.arange(len(own)))]
                 rows += [(d, index.ids[i], m, int(starts[j]), int(distance[j])) for (d, i, *_), j in zip(own, first, strict=True) if distance[j] <= k]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item_words", "start_word", "edit_distance"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS, strict=True)], [n for n, _ in _COLUMNS])
 
     return run
 
@@ -233,15 +244,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = max(1, -(-int(n_words) // (6 * PART_WORDS)))
     out = None
     for part in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select(F.col("item_id").cast("bigint").alias("item_id"), "text").orderBy("item_id", "text").collect()
         index = Index([(r[0], r[1]) for r in rows])
-        found = docs.select("doc_id", "text").mapInPandas(_search(index), _SCHEMA)
+        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_search(index), _SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item; rows without a doc_id cannot be told apart, and stay."""
     bad = Staged(contaminated(docs, benchmark).select("doc_id").distinct()).df
     return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(docs.columns)
 

@@ -20,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Staged, small
+from .common import WORD, Staged, passing, small
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 FAN = 64
+#: Sources that a mix may have; a target depends on all of them, so their sizes (not their documents) are held together.
+SOURCES = 1_000_000
 SEED = "mix-1"
 
 
@@ -33,8 +35,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
     Resharing ends at a water level L: a source gets min(cap x size, weight x L). With sources in the order of
     cap x size / weight, those before some place are capped; L of each place follows from running sums, and the place
-    is the first whose own ratio is not below its L."""
+    is the first whose own ratio is not below its L. A row for each source meets in one task, SOURCES at most."""
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    if sizes.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources; group them first")
     out = sizes.selectExpr("*", "row_number() OVER (ORDER BY source NULLS LAST) - 1 AS _rank").withColumn("_w", w.cast("double"))
     out = out.withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
     out = out.selectExpr(
@@ -49,8 +53,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return out.selectExpr("source", "source_size", "n_docs", "least(_cap, coalesce(_w * _level, _cap)) AS target")
 
 
-
-
 def _fold(id_type: str) -> str:
     """SQL: rows, an array of (id, s, p), folded into struct(r, done): the residual row and the rows whose p is final.
 
@@ -102,6 +104,11 @@ def pivotal(rows: DataFrame, seed: str = SEED, fan: int = FAN) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source, source_size, target, copies (how often the mix takes the document)."""
+    with passing() as scope:
+        return scope.keep(Staged(_mix(docs, seed)))
+
+
+def _mix(docs: DataFrame, seed: str) -> DataFrame:
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
     sized = Staged(docs.select("doc_id", "source", size.alias("size"))).df
     per_source = Staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))).df
@@ -119,12 +126,13 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def repeat_rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    copies = mix(docs.select("doc_id", "text", "source"), seed).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    copies = Staged(copies).df
+    with passing() as scope:
+        copies = mix(docs.select("doc_id", "text", "source"), seed).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+        copies = scope.keep(Staged(copies.where("_copies > 0 OR _rows > 1")))
     if not copies.where("_rows > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id"])
     taken = copies.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("_copies").cast("int").alias("_copies"))
-    many = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    many = docs.join(small(taken, taken.count()), docs["doc_id"].eqNullSafe(taken["_id"]))
     return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
