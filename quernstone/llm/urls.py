@@ -1,39 +1,45 @@
 """URL filter over a sorted digest array.
 
-Listed entries (a host and the start of a path, and a verdict) are kept as one ascending array of 64-bit xxhash keys
-beside an array of the full strings; executors memory-map both files and probe whole batches by vectorised binary
-search. A URL's probes are all its host's suffixes at label borders, each with the path cut at every length that some
-listed path has, so any entry that fits is probed. A key that is found counts only if the stored string is equal, so
-collisions never decide. The entry with the longest string wins.
+A list is a table of entries (a host and the start of a path), verdicts (allow or block) and kinds (rule or listed). It is
+kept as ascending arrays of 64-bit xxhash keys beside arrays of the full strings; executors memory-map both and probe
+whole batches by vectorised binary search. A URL's probes are all its host's suffixes at label borders, each with the path
+cut at every length that some entry's path has, so any entry that fits is probed. A key that is found counts only if the
+stored string is equal, so collisions never decide. The longest entry of each kind wins; both kinds share one index, so
+the pages are read and probed once.
 
-The list is split into segments of at most SEGMENT_ENTRIES; each segment is a pair of files, which Spark sends to every
-executor that asks (a replaced executor too), and is mapped, not read, so memory stays bounded.
+The list comes to the driver in order, SEGMENT_ENTRIES at a time; each segment is four files in the shared folder, named
+by their content, which Spark sends to every executor that asks (a replaced executor too). They are mapped, not read, so
+memory stays bounded, and a list that was sent before is not sent again.
 
 Defined results: a null URL, or one without ://, has an empty host and path, which no entry fits, and the verdict
-`allow`; equal URLs get equal results; an empty table gives an empty result; other columns are not looked at.
+`allow`; of equal entries of one kind `block` counts; null or empty entries fit nothing; equal URLs get equal results; an
+empty table or list gives an empty result or no findings; other columns, also those named host, path, rule or listed, are
+not looked at. Page ids pass through Arrow as they are.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, shared_dir
 
 #: Rules as (host/path, verdict).
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Hosts that the method itself blocks, with all their paths; spam, betting, pill and tracker hosts.
-LISTED = ["cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org", "free-bets.example.com", "free-bets.example.net", "free-bets.example.org", "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "ads-track.example.com", "ads-track.example.net", "ads-track.example.org"]
+#: The list that comes with the operator: entry, tab, verdict.
+LIST_FILE = Path(__file__).with_name("url_list.tsv")
 SEGMENT_ENTRIES = 4_000_000
+#: Kinds and verdicts, as bits of an entry's flags.
+FLAGS = {("rule", "allow"): 1, ("rule", "block"): 2, ("listed", "allow"): 4, ("listed", "block"): 8}
 
 
 def key(entry: str) -> int:
@@ -41,31 +47,40 @@ def key(entry: str) -> int:
 
 
 class DigestArray:
-    """One segment: entries ascending by key, memory-mapped from <name>.keys, .ends, .text and .verdicts."""
+    """One segment: entries ascending by key, memory-mapped from <name>.keys, .ends, .text and .flags."""
 
-    PARTS = ("keys", "ends", "text", "verdicts")
+    PARTS = ("keys", "ends", "text", "flags")
 
     def __init__(self, name: str):
         at = {p: SparkFiles.get(f"{name}.{p}") for p in self.PARTS}
         self.keys = np.memmap(at["keys"], np.uint64, "r")
         self.ends = np.memmap(at["ends"], np.int64, "r")
         self.text = np.memmap(at["text"], np.uint8, "r")
-        self.blocks = np.memmap(at["verdicts"], np.uint8, "r")
+        self.flags = np.memmap(at["flags"], np.uint8, "r")
 
     @staticmethod
-    def write(spark: SparkSession, entries: dict[str, str]) -> str:
-        """Writes the segment and hands it to Spark; returns its name."""
-        name, folder = f"digests-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="quernstone-")
-        ordered = sorted((key(e), e.encode("utf-8", "surrogatepass"), v) for e, v in entries.items())
+    def write(spark: SparkSession, entries: list[tuple[str, int]]) -> str:
+        """Writes a segment of (entry, flags) to the shared folder and hands it to Spark; returns its name."""
+        ordered = sorted((key(e), e.encode("utf-8", "surrogatepass"), f) for e, f in entries)
         data = {
             "keys": np.array([k for k, _, _ in ordered], np.uint64),
             "ends": np.cumsum([0] + [len(e) for _, e, _ in ordered]).astype(np.int64),
             "text": np.frombuffer(b"".join(e for _, e, _ in ordered), np.uint8),
-            "verdicts": np.array([v == "block" for _, _, v in ordered], np.uint8),
+            "flags": np.array([f for _, _, f in ordered], np.uint8),
         }
-        for part, values in data.items():
-            values.tofile(path := os.path.join(os.path.abspath(folder), f"{name}.{part}"))
-            spark.sparkContext.addFile(path)
+        digest = xxhash.xxh3_128()
+        for part in DigestArray.PARTS:
+            digest.update(data[part].tobytes())
+        name, sc = f"digests-{digest.hexdigest()}", spark.sparkContext
+        if any(f.endswith(f"{name}.{DigestArray.PARTS[-1]}") for f in sc.listFiles):
+            return name
+        path, shared = sc._jvm.org.apache.hadoop.fs.Path, shared_dir(spark)
+        files = path(shared).getFileSystem(sc._jsc.hadoopConfiguration())
+        with tempfile.TemporaryDirectory(prefix="quernstone-") as folder:
+            for part in DigestArray.PARTS:
+                data[part].tofile(own := os.path.join(os.path.abspath(folder), f"{name}.{part}"))
+                files.copyFromLocalFile(True, True, path(f"file://{own}"), path(f"{shared}/{name}.{part}"))
+                sc.addFile(f"{shared}/{name}.{part}")
         return name
 
     def entry(self, i: int) -> bytes:
@@ -95,12 +110,15 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("host", host).withColumn("path", path).drop("_rest")
 
 
-def _probe(names: list[str], lengths: list[int], schema_names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_COLUMNS = [("rule", pa.string()), ("rule_blocks", pa.bool_()), ("listed", pa.string()), ("listed_blocks", pa.bool_())]
+
+
+def _probe(names: list[str], lengths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = [DigestArray(n) for n in names]
         for batch in batches:
             probes, owner = [], []
-            for i, (host, path) in enumerate(zip(batch["host"], batch["path"], strict=True)):
+            for i, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
                 cuts = [path[:m] for m in lengths if m <= len(path)]
                 at = 0
                 while host and at >= 0:
@@ -109,54 +127,68 @@ def _probe(names: list[str], lengths: list[int], schema_names: list[str]):
                     owner += [i] * len(cuts)
                     dot = host.find(".", at)
                     at = dot + 1 if dot >= 0 else -1
-            best: list[tuple[int, str, bool] | None] = [None] * len(batch)
+            best: dict[str, list[tuple[int, str, bool] | None]] = {kind: [None] * len(batch) for kind, _ in FLAGS}
             keys = np.array([xxhash.xxh64_intdigest(p) for p in probes], np.uint64)
             for s in segments if probes else ():
                 places = s.find(probes, keys)
                 for j in np.flatnonzero(places >= 0):
-                    entry = probes[j].decode("utf-8", "surrogatepass")
-                    found, had = (len(entry), entry, bool(s.blocks[places[j]])), best[owner[j]]
-                    if had is None or found > had:
-                        best[owner[j]] = found
-            batch["entry"] = [b[1] if b else None for b in best]
-            batch["blocked"] = [b[2] if b else None for b in best]
-            yield batch[schema_names]
+                    entry, flags = probes[j].decode("utf-8", "surrogatepass"), int(s.flags[places[j]])
+                    for (kind, verdict), flag in FLAGS.items():
+                        if flags & flag:
+                            found, had = (len(entry), entry, verdict == "block"), best[kind][owner[j]]
+                            if had is None or found > had:
+                                best[kind][owner[j]] = found
+            made = [x for kind in best for x in ([b and b[1] for b in best[kind]], [b and b[2] for b in best[kind]])]
+            arrays = [pa.array(x, t) for x, (_, t) in zip(made, _COLUMNS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(n for n, _ in _COLUMNS)])
 
     return run
 
 
-def judge(pages: DataFrame, entries: dict[str, str], url: str = "url") -> DataFrame:
-    """pages with host, path, entry (the longest that fits; else null) and blocked (its verdict; else null)."""
+def listed_entries(spark: SparkSession, rules: list[tuple[str, str]] | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """(entry, verdict, kind): rules and a list(entry, verdict); by default those that come with the operator."""
+    if listed is None:
+        listed = spark.createDataFrame([tuple(x.split("\t")) for x in LIST_FILE.read_text().splitlines() if x], "entry string, verdict string")
+    ruled = spark.createDataFrame(RULES if rules is None else rules, "entry string, verdict string")
+    return ruled.withColumn("kind", F.lit("rule")).union(listed.select("entry", "verdict", F.lit("listed")))
+
+
+def judge(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
+    """pages(<id columns>, url) with host, path and, of the longest entry of each kind that fits, rule, rule_blocks, listed and listed_blocks (else null)."""
     spark = pages.sparkSession
+    flag = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("verdict") == v), F.lit(f)) for (k, v), f in FLAGS.items()])
+    ordered = entries.where("entry <> ''").select("entry", flag.alias("f")).where("f IS NOT NULL").groupBy("entry").agg(F.bit_or("f").alias("f")).orderBy("entry")
+    names, lengths, held = [], set(), []
+    for e, f in ordered.toLocalIterator():
+        held.append((e, f))
+        lengths.add(len(e) - e.index("/") if "/" in e else 0)
+        if len(held) == SEGMENT_ENTRIES:
+            names.append(DigestArray.write(spark, held))
+            held = []
+    if held:
+        names.append(DigestArray.write(spark, held))
     parts = with_parts(pages, url)
-    listed = sorted(entries)
-    names = [DigestArray.write(spark, {e: entries[e] for e in listed[i : i + SEGMENT_ENTRIES]}) for i in range(0, len(listed), SEGMENT_ENTRIES)]
-    lengths = sorted({len(e) - e.index("/") if "/" in e else 0 for e in listed})
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema.fields)}, entry string, blocked boolean"
-    return parts.mapInPandas(_probe(names, lengths, [*parts.columns, "entry", "blocked"]), schema)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema.fields)}, rule string, rule_blocks boolean, listed string, listed_blocks boolean"
+    return parts.mapInArrow(_probe(names, sorted(lengths)), schema)
 
 
-def op4_url_filter(pages: DataFrame) -> DataFrame:
+def op4_url_filter(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Rules first; where none fits, the method's list."""
-    slim = pages.select("page_id", "url")
-    ruled = judge(slim, dict(RULES)).withColumnsRenamed({"entry": "rule", "blocked": "_rule_blocks"})
-    both = judge(ruled.withColumnsRenamed({"host": "_h", "path": "_p"}), dict.fromkeys(LISTED, "block"))
-    blocked = F.coalesce("_rule_blocks", "blocked", F.lit(False))
-    return both.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), F.col("entry").alias("listed"))
+    judged = judge(pages.select("page_id", "url"), listed_entries(pages.sparkSession, listed=listed))
+    blocked = F.coalesce("rule_blocks", "listed_blocks", F.lit(False))
+    return judged.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), "listed")
 
 
 def oracle_sql() -> str:
-    rules = ", ".join(f"('{e}', '{e[: e.index('/')]}', '{e[e.index('/') :]}', '{v}')" for e, v in RULES)
-    listed = ", ".join(f"('{h}')" for h in LISTED)
+    rows = [(e, v, "rule") for e, v in RULES] + [(*x.split("\t"), "listed") for x in LIST_FILE.read_text().splitlines() if x]
+    entries = ", ".join(f"('{e}', '{e.partition('/')[0]}', '{e[len(e.partition('/')[0]) :]}', '{v}', '{k}')" for e, v, k in rows)
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (SELECT * FROM (VALUES {rules}) AS r(rule, rh, rp, verdict)),
-fit AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule DESC) AS k
-  FROM p, r WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)),
-l AS (SELECT * FROM (VALUES {listed}) AS l(h)),
-hit AS (SELECT page_id, h, row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC, h DESC) AS k FROM p, l WHERE host = h OR host LIKE '%.' || h)
-SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN h IS NULL THEN 'allow' ELSE 'block' END) AS verdict, h AS listed
-FROM p LEFT JOIN (SELECT * FROM fit WHERE k = 1) AS f ON p.page_id = f.page_id LEFT JOIN (SELECT * FROM hit WHERE k = 1) AS g ON p.page_id = g.page_id
+e AS (SELECT * FROM (VALUES {entries}) AS e(entry, eh, ep, verdict, kind)),
+fit AS (SELECT page_id, entry, verdict, kind, row_number() OVER (PARTITION BY page_id, kind ORDER BY length(entry) DESC, entry DESC, verdict DESC) AS k
+  FROM p, e WHERE (host = eh OR host LIKE '%.' || eh) AND starts_with(path, ep))
+SELECT p.page_id, host, path, r.entry AS rule, coalesce(r.verdict, l.verdict, 'allow') AS verdict, l.entry AS listed
+FROM p LEFT JOIN (SELECT * FROM fit WHERE k = 1 AND kind = 'rule') AS r ON p.page_id = r.page_id LEFT JOIN (SELECT * FROM fit WHERE k = 1 AND kind = 'listed') AS l ON p.page_id = l.page_id
 """

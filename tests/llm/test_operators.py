@@ -127,25 +127,43 @@ def test_mixing_keeps_expectations(spark):
     assert abs(total["a"] / 12 / 30 - 10 / 7) < 0.2 and abs(total["b"] / 12 / 30 - 4 / 7) < 0.2
 
 
-def test_urls_match_brute_force(spark):
-    rows = [(1, None), (2, "no scheme"), (3, "http://EN.Example.com/en/7?x"), (4, "https://example.com/en/8"), (5, "ftp://a.net/de/"), (6, "http://example.net/de/8#a"), (7, "http://x.free-bets.example.com/fr"), (8, "http://notexample.com"), (9, "a://b://c/en/"), (10, "http://org/es/"), (11, "://"), (11, "://")]
-    got = {}
-    for r in urls.op4_url_filter(spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, host string")).collect():
-        got[r.page_id] = r
-    for i, u in rows:
-        rest = u.split("://", 1)[1] if u and "://" in u else ""
-        host = re.match(r"[^/?#]*", rest)[0]
-        path = re.match(r"[^?#]*", rest[len(host) :])[0]
-        host = host.translate(LOWER)
-        fits = lambda e: (host == e.partition("/")[0] or host.endswith("." + e.partition("/")[0])) and path.startswith(e[len(e.partition("/")[0]) :])  # noqa: B023, E731
-        rule = max((e for e, _ in urls.RULES if fits(e)), key=len, default=None)
-        verdict = dict(urls.RULES)[rule] if rule else ("block" if any(map(fits, urls.LISTED)) else "allow")
-        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict)
+def _judged(url, rules, listed):
+    """(host, path, rule, verdict, listed) of one URL, entry by entry."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = host.translate(LOWER)
+    fits = lambda e: (host == e.partition("/")[0] or host.endswith("." + e.partition("/")[0])) and path.startswith(e[len(e.partition("/")[0]) :])
+    rule, own = (max((e for e in entries if fits(e)), key=lambda e: (len(e), e), default=None) for entries in (rules, listed))
+    return host, path, rule, rules[rule] if rule else listed[own] if own else "allow", own
+
+
+def test_urls_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SEGMENT_ENTRIES", 7)
+    urls_ = [None, "no scheme", "http://EN.Example.com/en/7?x", "https://example.com/en/8", "ftp://a.net/de/", "http://example.net/de/8#a", "http://x.free-bets.example.com/fr", "http://notexample.com", "a://b://c/en/", "http://org/es/", "://", "://", "http://free-bets.example.com/responsible/x", "http://a.example.com/spam/1", "http://a.example.com/spam", "https://" + "s." * 400 + "example.org/casino/" + "x" * 3000]
+    rows = list(enumerate(urls_)) + [(None, urls_[2]), (2**53 + 1, urls_[3]), (2**53 + 3, urls_[4])]
+    listed = dict(x.split("\t") for x in urls.LIST_FILE.read_text().splitlines())
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in rows], "page_id long, url string, host string, rule string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict, r.listed) for r in urls.op4_url_filter(df).collect()), key=str)
+    assert got == sorted(((i, *_judged(u, dict(urls.RULES), listed)) for i, u in rows), key=str)
+    assert urls.op4_url_filter(df.limit(0)).count() == 0
+
+
+def test_urls_of_a_list_from_a_table(spark, monkeypatch):
+    """Two thousand hosts and paths in many segments, with repeats that disagree."""
+    monkeypatch.setattr(urls, "SEGMENT_ENTRIES", 100)
+    rng = random.Random(11)
+    entries = {f"h{rng.randrange(500)}.example.{rng.choice(['com', 'net'])}" + rng.choice(["", "/", "/a", "/a/b", "/a/bc/"]): rng.choice(["allow", "block"]) for _ in range(2000)}
+    pages = [(i, f"https://{rng.choice(['', 'www.', 'x.y.'])}h{rng.randrange(600)}.example.{rng.choice(['com', 'net'])}{rng.choice(['', '/', '/a/b', '/a/bc/d?e', '/z'])}") for i in range(500)]
+    table = [*entries.items(), *[(e, "allow") for e in list(entries)[:50]], (None, "block"), ("", "block"), ("example.com", None)]
+    listed = spark.createDataFrame(table, "entry string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.listed) for r in urls.op4_url_filter(spark.createDataFrame(pages, "page_id long, url string"), listed).collect()}
+    assert got == {i: _judged(u, dict(urls.RULES), entries) for i, u in pages}
 
 
 def test_url_collisions_are_confirmed(spark, monkeypatch):
     monkeypatch.setattr(urls, "key", lambda e: 5)
-    name = urls.DigestArray.write(spark, {"a.com/x": "block", "b.com/y": "allow"})
+    name = urls.DigestArray.write(spark, [("a.com/x", 2), ("b.com/y", 1)])
     import numpy as np
 
     found = urls.DigestArray(name).find([b"a.com/x", b"b.com/y", b"c.com/z"], np.array([5, 5, 5], np.uint64))
