@@ -420,6 +420,56 @@ def test_secrets_base_and_lexing(spark):
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     assert "named:9:24" in got[32].spans and "named:16:30" in got[34].spans and "named" not in got[33].spans
     assert secrets.op7_secrets(empty(spark)).count() == 0
+    big = [(None, rows[-1][1]), (2**53 + 1, rows[-2][1]), (2**53 + 3, rows[-3][1])]
+    assert {(r.doc_id, r.spans) for r in secrets.op7_secrets(frame(spark, big)).collect()} == {(i, got[j].spans) for (i, _), j in zip(big, (34, 33, 32), strict=True)}
+
+
+def test_secrets_named_spans_of_generated_sources():
+    """Programs of known names and literals in every syntax; what is to be found follows from how they were made."""
+    rng = random.Random(12)
+    sensitive, plain = ["db_password", "clientSecret", "auth_token", "AWS_SECRET_KEY", "private_key"], ["width", "title", "colour", "retries", "mode"]
+    strong = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(20))
+    for _ in range(300):
+        text, want = "", set()
+
+        def put(piece, secret=False):
+            nonlocal text
+            if secret:
+                want.add((len(text), len(text) + len(piece)))
+            text += piece
+
+        for _ in range(rng.randint(1, 6)):
+            hot, form, literal = rng.random() < 0.6, rng.randrange(9), strong()
+            name = rng.choice(sensitive if hot else plain)
+            if form == 0:
+                put(f'{name} = "'), put(literal, hot), put('"\n')
+            elif form == 1:
+                put(f"{name}: "), put(literal + "/x+y==", hot), put("\n")
+            elif form == 2:
+                put(f'{{"{name}": "'), put(literal, hot), put('", "other": 3}\n')
+            elif form == 3:
+                put(f"'{name}' => '"), put(literal, hot), put("',\n")
+            elif form == 4:
+                put(f'a{len(text)} = {name} = b = "'), put(literal, hot), put('"\n')
+            elif form == 5:
+                put(f"V{len(text)}X = '"), put(literal, hot), put("'\n")
+                put(f"{name} = {text[: text.rindex(' = ')].splitlines()[-1]}\n")
+            elif form == 6:
+                later = f"LATER{len(text)}"
+                put(f"{name} = {later}\nplain words here\n{later} := \""), put(literal, hot), put('"\n')
+            elif form == 7:
+                put(f'{name} = "'), put(literal[:9], hot), put("\" + '"), put(literal[9:], hot), put("'\n")
+            else:
+                put(f'{name} = """'), put(literal + "\nno operator in this line\n" + literal, hot), put('"""\n')
+            put(rng.choice(["\n", "some prose without signs\n", f"{name}()\n", ""]))
+        assert {(a, b) for a, b, _ in secrets.named(text)} == want, text
+
+
+def test_secrets_names_in_circles():
+    text = 'token_a = token_b\ntoken_b = token_a\nsecret_c = secret_c\n' + "".join(f"k{i} = k{i + 1}\n" for i in range(5000)) + 'k5000 = "Zx81mPq0Lr7TgW2s"\nauth_token = k0\n'
+    start = text.index("Zx81")
+    assert (start, start + 16) in {(a, b) for a, b, _ in secrets.named(text)}
+    assert secrets.named("password = load_value(1)\nsecret_key = None") == []
 
 
 def test_toxicity_restores_and_learns(spark):
