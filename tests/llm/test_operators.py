@@ -1,12 +1,15 @@
 """Every operator of the subpackage against a brute-force version or an exact property, and the edge cases of each."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import decontam, licenses, mixing, ngram_join, pii, quality, secrets, sharding, toxicity, urls
 
@@ -164,8 +167,6 @@ def test_urls_of_a_list_from_a_table(spark, monkeypatch):
 def test_url_collisions_are_confirmed(spark, monkeypatch):
     monkeypatch.setattr(urls, "key", lambda e: 5)
     name = urls.DigestArray.write(spark, [("a.com/x", 2), ("b.com/y", 1)])
-    import numpy as np
-
     found = urls.DigestArray(name).find([b"a.com/x", b"b.com/y", b"c.com/z"], np.array([5, 5, 5], np.uint64))
     assert found[2] == -1 and set(found[:2]) == {0, 1}
 
@@ -472,6 +473,46 @@ def test_secrets_names_in_circles():
     assert secrets.named("password = load_value(1)\nsecret_key = None") == []
 
 
+def test_toxicity_decoding_is_the_best_reading():
+    """Viterbi against all readings of short lattices, under language models of random counts."""
+    rng = random.Random(13)
+    for trial in range(120):
+        decoder = toxicity.Decoder(np.array([rng.choice((0, 0, 1, 5, 40)) for _ in range(toxicity.SYMBOLS**3)]))
+        apart = trial % 2 == 0
+        word = "".join(rng.choice("abst1035@$!") * rng.choice((1, 1, 1, 3)) for _ in range(rng.randint(1, 4)))[:5]
+        if trial % 5 == 1:
+            word = word[:2] + "*"
+
+        def score(choice):
+            total, a, b = 0.0, 0, 0
+            for letters, p in choice:
+                total += p
+                for c in letters:
+                    k = 0 if c == " " else toxicity.symbol(c)
+                    total += decoder.log[a][b][k]
+                    a, b = (0, 0) if c == " " else (b, k)
+            return total + decoder.log[a][b][0]
+
+        best = max(itertools.product(*decoder.arcs(word, apart)), key=score)
+        got = decoder.decode(word, apart)
+        readings = [score(c) for c in itertools.product(*decoder.arcs(word, apart)) if "".join(x for x, _ in c) == got]
+        assert max(readings) == pytest.approx(score(best))
+
+
+def test_toxicity_decodes_words_of_any_length():
+    counts = np.zeros((toxicity.SYMBOLS,) * 3, np.int64)
+    for w in ["idiot", "you", "are", "an"] * 50 + ["x" * 30]:
+        s = [0, 0, *map(toxicity.symbol, w), 0]
+        for t in zip(s, s[1:], s[2:], strict=False):
+            counts[t] += 1
+    decoder = toxicity.Decoder(counts.reshape(-1))
+    assert {"you", "idiot"} <= decoder.words("y o u i d i o t")
+    assert {"you", "are", "an", "idiot"} <= decoder.words("say y.o.u.a.r.e.a.n.i.d.i.o.t now")
+    assert "idiot" in decoder.words("iii" * 20 + "d1" + "o" * 30 + "ttt")
+    assert "".join(c for c in decoder.restore("i d 1 o t " * 3000) if c != " ") == "idiot" * 3000
+    assert decoder.words(None) == decoder.words("") == set()
+
+
 def test_toxicity_restores_and_learns(spark):
     rng = random.Random(6)
     calm = ["river", "stone", "garden", "window", "paper", "light", "table", "music"]
@@ -491,6 +532,9 @@ def test_toxicity_restores_and_learns(spark):
     held = [(got[i].predicted, y) for i, _, y in labels if got[i].held_out]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
     assert toxicity.op8_toxicity(empty(spark), lab).count() == 0
+    big = [(None, "you idiot"), (2**53 + 1, "river idiot"), (2**53 + 3, "river")]
+    more = {r.doc_id: r.predicted for r in toxicity.op8_toxicity(frame(spark, [*rows, *big]), lab.withColumn("text", F.lit("idiot"))).collect()}
+    assert (more[None], more[2**53 + 1], more[2**53 + 3]) == (1, 1, 0) and len(more) == len(rows) + 3
     none = toxicity.op8_toxicity(frame(spark), lab.limit(0)).collect()
     assert all(r.predicted == 0 for r in none)
 
