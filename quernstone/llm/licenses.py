@@ -4,10 +4,11 @@ A block is a line; its set, like a template's, is of lower-cased words. A block
 ceil(THRESHOLD * |T|) of T's words (containment), whatever else it holds.
 
 The join is prefix-filtered: words are ordered by their frequency over all blocks, rarest first, and a block that
-meets T must hold one of the first |T| - ceil(THRESHOLD * |T|) + 1 words of T in that order. The length filter (as many
-template words as T needs) and the positional filter (enough of them from the first shared prefix word on) follow, then
-the count itself. Templates are a constant of bounded size, so they are part of the plan and the join moves no rows:
-the frequencies, one number for each template word, are all that is gathered.
+meets T must hold one of the first |T| - ceil(THRESHOLD * |T|) + 1 words of T in that order. An index leads from each such
+word to the templates that have it in their prefix, and only those are looked at. The length filter (as many template
+words as T needs) and the positional filter (enough of them from the first shared prefix word on) follow, then the count
+itself. Templates are a constant of bounded size, so they and their index are part of the plan and the join moves no
+rows: the frequencies, one number for each template word, are all that is gathered.
 
 Notices that wrap have no such line. Of a document whose words meet T together, the runs of as many words as T's text
 has, over lines that follow one another without one that holds no word, are compared with T too, at the same threshold.
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, let
+from .common import Scope, Staged, let, lower_ascii, passing
 
 #: Word characters, before and after lower-casing A-Z.
 W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -35,29 +37,10 @@ NOT_W = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 THRESHOLD = 0.9
 #: Phrases and the labels that they give.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: License notices as their publishers word them, and labels.
-TEMPLATES: list[tuple[str, str]] = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "distributed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
+#: Labels and license notices as their publishers word them, in the words that the scan compares.
+TEMPLATES = [tuple(x.split("\t")) for x in Path(__file__).with_name("license_templates.tsv").read_text().splitlines() if x]
+#: Words of all templates together; they are part of the plan, so a longer list is to be scanned for in parts.
+TEMPLATE_WORDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +55,8 @@ class Template:
 
 
 def templates(listed: list[tuple[str, str]], threshold: float) -> list[Template]:
+    if sum(len(text.split()) for _, text in listed) > TEMPLATE_WORDS:
+        raise ValueError(f"templates of more than {TEMPLATE_WORDS} words")
     out = []
     for label, text in listed:
         words = tuple(dict.fromkeys(text.split()))
@@ -96,7 +81,7 @@ def word_blocks(docs: DataFrame, listed: list[Template], text: str = "text") ->
     """docs with n_words, _blocks: of each line that has enough template words for some template, those words, and
     _wrapped: (label, score) of the templates that runs over several lines meet."""
     vocabulary = _strings(sorted({w for t in listed for w in t.words}))
-    lines = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"{W}+"), F.lit(0)))
+    lines = F.transform(F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"{W}+"), F.lit(0)))
     least = min(t.need for t in listed)
     out = docs.withColumn("_lines", lines)
     n_words = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + F.size(x))
@@ -145,18 +130,21 @@ def frequency_order(blocked: DataFrame, listed: list[Template]) -> list[str]:
 def matches(blocks: Column, order: list[str], listed: list[Template]) -> Column:
     """Of one document: an array of (label, containment) of the templates that some block meets."""
     rank = {w: i for i, w in enumerate(order)}
-    rows, prefixes = [], set()
+    rows, index = [], {}
     for i, t in enumerate(listed):
         words = sorted(t.words, key=rank.__getitem__)
         prefix = words[: len(words) - t.need + 1]
-        prefixes.update(prefix)
+        for w in prefix:
+            index.setdefault(w, []).append(i)
         rows.append(F.struct(F.lit(t.label).alias("label"), _strings(words).alias("words"), _strings(prefix).alias("prefix"), F.lit(t.need).alias("need"), F.lit(i).alias("i"), F.array(*[F.lit(a) for a in t.above]).cast("array<int>").alias("above")))
-    table, ordered, any_prefix = F.array(*rows), _strings(order), _strings(sorted(prefixes, key=rank.__getitem__))
+    table, ordered, any_prefix = F.array(*rows), _strings(order), _strings(sorted(index, key=rank.__getitem__))
+    leads = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.array(*[F.lit(i) for i in index[w]]))])
 
     def meets(b: Column) -> Column:
         first = lambda t: F.array_position(b, F.get(F.array_intersect(b, t["prefix"]), F.lit(0)))
         found = lambda t: F.when((F.size(b) >= t["need"]) & F.arrays_overlap(b, t["prefix"]), F.when(F.size(b) - first(t) + 1 >= t["need"], F.size(F.array_intersect(b, t["words"]))))
-        scored = F.transform(table, lambda t: F.struct(t["label"].alias("label"), (F.when(found(t) >= t["need"], found(t)) / F.size(t["words"])).alias("score"), t["i"].alias("i"), t["above"].alias("above")))
+        led = F.transform(F.array_distinct(F.flatten(F.transform(F.array_intersect(b, any_prefix), lambda w: F.element_at(leads, w)))), lambda i: F.get(table, i))
+        scored = F.transform(led, lambda t: F.struct(t["label"].alias("label"), (F.when(found(t) >= t["need"], found(t)) / F.size(t["words"])).alias("score"), t["i"].alias("i"), t["above"].alias("above")))
         widest = lambda m: F.filter(m, lambda s: ~F.arrays_overlap(s["above"], F.transform(m, lambda o: o["i"])))
         return F.transform(let(F.filter(scored, lambda s: s["score"].isNotNull()), widest), lambda s: F.struct(s["label"].alias("label"), s["score"].alias("score")))
 
@@ -177,15 +165,19 @@ def _places(text: Column, phrase: str, label: str) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", listed: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs, less the text, with n_words, phrases (label, places, first_word, last_word of each phrase found) and licenses (label, containment)."""
-    listed_templates = templates(TEMPLATES if listed is None else listed, threshold)
+    with passing() as scope:
+        return _scan(docs, text, templates(TEMPLATES if listed is None else listed, threshold), scope)
+
+
+def _scan(docs: DataFrame, text: str, listed: list[Template], scope: Scope) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     t = F.coalesce(F.col(text), F.lit(""))
-    blocked = word_blocks(docs, listed_templates, text)
+    blocked = word_blocks(docs, listed, text)
     found = [F.when(t.rlike(_phrase(phrase)), _places(t, phrase, label)) for phrase, label in PHRASES.items()]
     blocked = blocked.withColumn("phrases", F.filter(F.array(*found), lambda x: x.isNotNull()))
-    blocked = Staged(blocked.select(*keep, "n_words", "phrases", "_blocks", "_wrapped")).df
-    order = frequency_order(blocked, listed_templates)
-    return blocked.withColumn("licenses", F.concat(matches(F.col("_blocks"), order, listed_templates), "_wrapped")).drop("_blocks", "_wrapped")
+    blocked = scope.keep(Staged(blocked.select(*keep, "n_words", "phrases", "_blocks", "_wrapped")))
+    order = frequency_order(blocked, listed)
+    return blocked.withColumn("licenses", F.concat(matches(F.col("_blocks"), order, listed), "_wrapped")).drop("_blocks", "_wrapped")
 
 
 def op6_licenses(docs: DataFrame) -> DataFrame:
@@ -216,7 +208,7 @@ pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 hit AS (SELECT doc_id, label, i - 1 AS place FROM pos, p WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
 h AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM hit GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-b AS (SELECT doc_id, row_number() OVER () AS block, list_distinct({words % 'line'}) AS b FROM lines WHERE regexp_matches(line, '(?i)licen|permi|public|cc|redist|source')),
+b AS (SELECT doc_id, row_number() OVER () AS block, list_distinct({words % 'line'}) AS b FROM lines),
 tm AS (SELECT * FROM (VALUES {rows}) AS t(label, words, need, i, above)),
 m AS (SELECT doc_id, block, label, len(list_intersect(b, words)) AS n, len(words) AS size, need, i, above FROM b, tm WHERE len(b) >= need),
 met AS (SELECT * FROM m WHERE n >= need),
