@@ -11,8 +11,8 @@ Offsets are code points: regexp_extract_all gives the matches of a text, split w
 lengths add up to the places. Patterns are possessive, so their matching neither recurses nor backtracks.
 
 Defined results: a null or empty text has no spans, counts 0 and the digest of the empty string; base kinds are matched
-independently and may overlap, found spans overlap no base span; repeated rows get equal results; an empty table gives
-an empty result; other columns are not looked at.
+independently and may overlap, found spans overlap no base span; repeated rows get equal results, and rows that share an
+id, or have none, each the spans of their own text; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, let, small
+from .common import Staged, let, passing, small
 
 _SP, _NSP = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 KINDS = ("email", "ip", "card", "phone")
@@ -33,9 +33,10 @@ BASE = {
 }
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 _IP_OK = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: Private-use characters that stand for a seed's text, one for each kind.
+#: Private-use characters that stand for a seed's text, one for each kind; in texts they give way to another one.
 MARKS = {k: chr(0xE000 + i) for i, k in enumerate(KINDS)}
-CANDIDATE = rf"(?<!{_NSP})(?={_NSP}*[0-9@\x{{E000}}-\x{{E003}}]){_NSP}++"
+OTHER = chr(0xE004)
+CANDIDATE = rf"(?<!{_NSP})(?={_NSP}*(?:[0-9@\x{{E000}}-\x{{E003}}]|\(at\)|\[at\])){_NSP}++"
 ROUNDS = 3
 CONFIDENCE, SUPPORT, SHRINK = 0.7, 5, 1.0
 #: The form a found token has to have, by kind; cores are tokens without the punctuation around them.
@@ -46,7 +47,6 @@ FORMS = {
     "phone": r"^[(+]*[0-9](?:[-./()]*[0-9]){6,14}$",
 }
 _EDGE_FRONT, _EDGE_BACK = r"^[^A-Za-z0-9+(\[]+", r"[^A-Za-z0-9)\]]+$"
-CONTEXT = 80
 #: Matches of one text that are placed in one fold.
 BLOCK = 512
 
@@ -112,8 +112,9 @@ def _valid(found: Column, kind: str) -> Column:
     return F.filter(found, lambda s: VALID[kind](s["text"]))
 
 
-def _masked(based: DataFrame, text: str) -> DataFrame:
-    """based, whose column `text` gets every valid seed in marks of the same length; a projection for each kind, so that no text is made twice."""
+def _masked(based: DataFrame, text: str, plain: Column) -> DataFrame:
+    """based, whose column `text` gets every valid seed in marks of the same length; a projection for each kind, so that no text is made twice. plain: the column without marks."""
+    based = based.withColumn(text, plain)
     for kind in KINDS:
         both = F.struct(F.regexp_extract_all(F.col(text), F.lit(BASE[kind]), F.lit(0)).alias("m"), F.split(F.col(text), BASE[kind], -1).alias("gaps"))
         based = based.withColumn(text, F.when(F.size(kind) > 0, let(both, _filler(kind, MARKS[kind]))).otherwise(F.col(text)))
@@ -134,7 +135,8 @@ def _short(key: Column, most: int) -> Column:
 def candidates(based: DataFrame, text: str = "text") -> DataFrame:
     """based, less the text, with `cands`: identifier-like tokens as (start, end, seed, core, shape, l1, l2); l1, l2: the one and two words before it."""
     keep = [c for c in based.columns if c not in (text, "_digit")]
-    masked = _masked(based.withColumn("_m", F.when(F.col("_digit") | F.col(text).contains("@"), F.col(text))), "_m")
+    possible = F.col("_digit") | F.col(text).rlike(r"@|\(at\)|\[at\]")
+    masked = _masked(based.withColumn("_m", F.when(possible, F.col(text))), "_m", F.translate("_m", "".join(MARKS.values()), OTHER * len(MARKS)))
     found = F.when(F.col("_m").isNotNull(), spans(F.col("_m"), CANDIDATE)).otherwise(_none())
 
     def shape(x: Column) -> Column:
@@ -145,7 +147,7 @@ def candidates(based: DataFrame, text: str = "text") -> DataFrame:
         seed = F.lit(None).cast("string")
         for k in KINDS:
             seed = F.when(s["text"].contains(MARKS[k]), F.lit(k)).otherwise(seed)
-        words = F.trim(F.regexp_replace(F.lower(F.right(s["before"], F.lit(CONTEXT))), f"{_SP}+", " "))
+        words = F.trim(F.regexp_replace(F.lower(s["before"]), f"{_SP}+", " "))
         l1 = F.when(words == "", F.lit("<id>")).otherwise(_short(F.substring_index(words, " ", -1), 40))
         l2 = F.when(words == "", F.lit("<id>")).otherwise(_short(F.substring_index(words, " ", -2), 80))
         front = F.regexp_extract(s["text"], _EDGE_FRONT, 0)
@@ -171,8 +173,8 @@ def trusted_patterns(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         else:
             by_shape = edges.where("seed IS NULL").join(confidence, "pattern").groupBy("shape").agg(*[F.sum(F.col("n") * F.col("conf")[i]).alias(f"k{i}") for i in range(len(KINDS))])
             total = edges.where("seed IS NULL").groupBy("shape").agg(F.sum("n").alias("total"))
-            by_shape = total.join(by_shape, "shape").select("shape", F.array(*[F.col(f"k{i}") / F.col("total") for i in range(len(KINDS))]).alias("given"))
-            scored = edges.join(by_shape, "shape", "left").withColumn("s", F.when(F.col("seed").isNotNull(), F.array(*own)).otherwise(F.coalesce("given", F.array(*[F.lit(0.0)] * len(KINDS)))))
+            by_shape = Staged(total.join(by_shape, "shape").select("shape", F.array(*[F.col(f"k{i}") / F.col("total") for i in range(len(KINDS))]).alias("given"))).df
+            scored = edges.join(small(by_shape, by_shape.count()), "shape", "left").withColumn("s", F.when(F.col("seed").isNotNull(), F.array(*own)).otherwise(F.coalesce("given", F.array(*[F.lit(0.0)] * len(KINDS)))))
         sums = [F.sum(F.col("n") * F.col("s")[i]).alias(f"k{i}") for i in range(len(KINDS))]
         support = [F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0.0)).alias(f"b{i}") for i, k in enumerate(KINDS)]
         grouped = scored.groupBy("pattern").agg(F.sum("n").alias("total"), *sums, *support)
@@ -181,20 +183,29 @@ def trusted_patterns(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return confidence.select("pattern", best.alias("b")).select("pattern", "b.*").where((F.col("confidence") >= CONFIDENCE) & (F.col("backing") >= SUPPORT)).select("pattern", "kind", "confidence")
 
 
+_FOUND = "cast(array() as array<struct<kind: string, start: int, end: int>>)"
+
+
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs(doc_id, text) -> doc_id, a column of spans for each base kind, and `found`: array of (kind, start, end) that the contexts add."""
-    based = base_spans(docs.select("doc_id", F.col(text).alias("text")))
+    with passing() as scope:
+        return scope.keep(Staged(_extract(docs.select("doc_id", F.col(text).alias("text")))))
+
+
+def _extract(docs: DataFrame) -> DataFrame:
+    # a row is known by a number of its own, written with it, as ids may be null or repeat with other texts
+    based = base_spans(docs.withColumn("_row", F.monotonically_increasing_id()))
     staged = Staged(candidates(based).withColumns({k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS})).df
     trusted = Staged(trusted_patterns(staged)).df
     n = trusted.count()
     if not n:
-        return staged.select("doc_id", *KINDS, F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)").alias("found"))
+        return staged.select("doc_id", *KINDS, F.expr(_FOUND).alias("found"))
     fits = F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN core rlike r'{FORMS[k]}'" for k in KINDS) + " END")
-    open_tokens = staged.select("doc_id", F.explode(F.filter("cands", lambda c: c["seed"].isNull())).alias("c")).select("doc_id", "c.start", "c.end", "c.core", F.explode(F.array("c.l1", "c.l2")).alias("pattern"))
+    open_tokens = staged.select("_row", F.explode(F.filter("cands", lambda c: c["seed"].isNull())).alias("c")).select("_row", "c.start", "c.end", "c.core", F.explode(F.array("c.l1", "c.l2")).alias("pattern"))
     hits = open_tokens.join(small(trusted, n), "pattern").where(fits)
-    best = hits.groupBy("doc_id", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
-    per_doc = best.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.col("b.kind").alias("kind"), "start", "end"))).alias("found"))
-    return staged.join(per_doc, "doc_id", "left").select("doc_id", *KINDS, F.coalesce("found", F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)")).alias("found"))
+    best = hits.groupBy("_row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+    per_row = best.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct(F.col("b.kind").alias("kind"), "start", "end"))).alias("found"))
+    return staged.join(per_row, "_row", "left").select("doc_id", *KINDS, F.coalesce("found", F.expr(_FOUND)).alias("found"))
 
 
 def op1_pii(docs: DataFrame) -> DataFrame:

@@ -408,6 +408,24 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert got[200].spans == "" and all(got[i].n_found == 0 for i in range(20))
 
 
+def test_pii_contexts_by_row_and_kind(spark):
+    """Rows that share an id, private-use characters that look like marks, long gaps, and every kind behind its own words."""
+    card = lambda i: next(c for k in range(10) if _valid("card", c := f"45320151{1000 + i}311{k}"))
+    gap = "x" * 300
+    rows = [(i, f"reach me via mail: user{i}@host{i}.org or so, card no: {card(i)} fine, node addr: 10.0.{i}.1 up, call tel no: +1 555 123 {1000 + i} now") for i in range(20)]
+    rows += [(300, "nothing at all"), (300, "see tel no: 555-123-4444 ok"), (None, "old tel no: 555-123-4445 ok"), (None, "no number"), (301, "x \ue003 tel no: 555-123-4446"), (302, f"{gap} tel no: 555-123-4447")]
+    rows += [(303, "via mail: john.doe(at)example.org ok"), (304, "card no: 4532.0151.1283.0366 ok"), (305, "node addr: 10-0-7-1 ok")]
+    rows += [(400 + i, "words \ue003\ue003 here zip: \ue003 12345-678") for i in range(20)] + [(450, "zip: 555-123-4448")]
+    got = {}
+    for r in pii.op1_pii(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.spans)
+    assert sorted(got[300]) == ["", "ctx_phone:12:24"] and sorted(got[None]) == ["", "ctx_phone:12:24"]
+    assert (got[301], got[302]) == (["ctx_phone:12:24"], ["ctx_phone:309:321"])
+    assert (got[303], got[304], got[305]) == (["ctx_email:10:33"], ["ctx_card:9:28"], ["ctx_ip:11:19"])
+    assert all(got[400 + i] == [""] for i in range(20)) and got[450] == [""]
+    assert all("ctx" not in got[i][0] for i in range(20))
+
+
 def test_secrets_base_and_lexing(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = EDGE + [(30, f'token = "abcd1234efgh" {key} ' + "0f" * 20), (31, "Password:short api_key=longenough1"), (32, 'VALUE = "A9f83hfKq02LmZx"\nx = 1\nclient_secret_key = VALUE'), (33, "the token: it is"), (34, '{"auth_token": "ab12cd34ef56gh"}')]
