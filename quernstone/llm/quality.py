@@ -134,7 +134,7 @@ def op9_quality(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "n_lines", "fail_bits", "policy_version")
 
 
-OP9_SQL = r"""
+_LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS n FROM pos),
@@ -148,6 +148,14 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 b AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
   + (CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
   + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
-  n_lines, fail_bits, 'v1' AS policy_version FROM b
+{select}
 """
+OP9_SQL = _LEDGER_SQL.replace("{select}", """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
+  n_lines, fail_bits, 'v1' AS policy_version FROM b""")
+ABLATION_SQL = _LEDGER_SQL.replace(
+    "{select}",
+    f""", r AS (SELECT * FROM (VALUES {', '.join(f"('{name}', {bit}::BIGINT)" for name, bit in BITS.items())}) AS r(rule, bit))
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS rejected, count(*) FILTER (WHERE fail_bits = bit) AS rejected_alone,
+  count(*) FILTER (WHERE fail_bits & bit <> 0 AND fail_bits <> bit) AS rejected_with_others,
+  coalesce(bit_or(CASE WHEN fail_bits & bit <> 0 THEN fail_bits END), 0) AS any_bits FROM r, b GROUP BY rule""",
+)

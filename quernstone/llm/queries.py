@@ -9,7 +9,7 @@ from .licenses import op6_licenses
 from .mixing import op3_mixing
 from .ngram_join import op10_ngram_join
 from .pii import op1_pii
-from .quality import OP9_SQL, op9_quality
+from .quality import ABLATION_SQL, OP9_SQL, POLICIES, ablation, ledger, op9_quality
 from .secrets import op7_secrets
 from .sharding import op2_sharding
 from .toxicity import op8_toxicity
@@ -26,5 +26,6 @@ QUERIES = {
     "op6_licenses": lambda spark, d: op6_licenses(table(spark, d, "documents")),
     "op8_toxicity": lambda spark, d: op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_quality": lambda spark, d: op9_quality(table(spark, d, "documents")),
+    "quality_ablation": lambda spark, d: ablation(ledger(table(spark, d, "documents").select("doc_id", "text")), POLICIES["v1"]),
 }
-ORACLE_SQL = {"op4_url_filter": urls.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_quality": OP9_SQL}
+ORACLE_SQL = {"op4_url_filter": urls.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_quality": OP9_SQL, "quality_ablation": ABLATION_SQL}

@@ -2,16 +2,21 @@
 
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontam, licenses, mixing, ngram_join, pii, quality, secrets, sharding, toxicity, urls
+from quernstone.llm.common import shared_dir
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -557,16 +562,84 @@ def test_toxicity_restores_and_learns(spark):
     assert all(r.predicted == 0 for r in none)
 
 
-@pytest.mark.parametrize("n", [1, 7])
-def test_pipeline_stages(spark, sf, n):
+def _shard(key, weights):
+    """Rendezvous by hand; Spark hashes a list of values by using each one's hash as the seed of the next."""
+
+    def score(shard, weight):
+        h = xxhash.xxh64_intdigest(b"rendezvous-1", 42)
+        h = h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+        return weight / -math.log(((h >> 11) + 0.5) / 2**53)
+
+    return max(weights, key=lambda s: (score(s, weights[s]), s))
+
+
+def test_sharding_matches_the_hash_rule(spark):
+    keys = [None, 0, -5, 2**53 + 1, 2**62, *range(1, 300)]
+    weights = {0: 1.0, 1: 2.5, 7: 0.5, 23: 4.0}
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert {r.k: r.shard for r in sharding.shard(df, "k", weights).collect()} == {k: _shard(k, weights) for k in keys}
+    got = by_id(sharding.op2_sharding(frame(spark, [(k, "t") for k in keys])))
+    assert all((got[k].shard, got[k].grown_shard) == (_shard(k, dict.fromkeys(range(24), 1.0)), _shard(k, dict.fromkeys(range(25), 1.0))) for k in keys)
+
+
+def _good(text):
+    w = WORDS.findall(text or "")
+    windows = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    repeated = {k + j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(w) >= 10 and 5 * len(repeated) <= len(w) and 10 * symbols <= len(w) and 100 * (len(lines) - len(set(lines))) <= 40 * len(lines) and 2 * len(w) <= chars <= 20 * len(w)
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    if n == 1:
-        docs = docs.limit(0)
-    first = docs
+    rng = random.Random(14)
+    items = [(i, " ".join(f"b{i}w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 40)))) for i in range(6)]
+    rows = [(i, t, "en", "s0", 1) for i, t in EDGE] + [(None, "without an id " + " ".join(f"n{k}" for k in range(12)), "en", None, 1)]
+    for f in range(40):
+        base = [f"f{f}w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 60))]
+        for _ in range(rng.randint(1, 4)):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.2:
+                w[5:5] = rng.choice(items)[1].split()
+            rows.append((1000 + len(rows), " ".join(w), "en", rng.choice(["s0", "s1", "s2", "s3", None]), 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, outs = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for name, stage in pipeline.STAGES:
-        nxt = stage(spark, docs, sf)
-        if name != "sharding":
-            assert nxt.columns == first.columns
-        docs = spark.createDataFrame(nxt.collect(), nxt.schema)
-    assert (docs.count() == 0) == (n == 1)
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns + ["shard"] * (name == "sharding")
+        made.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        outs.append(sorted(map(tuple, docs.collect()), key=str))
+    want = sorted((r for r in rows if _good(r[1])), key=str)
+    assert outs[0] == want
+    component = {d: c for d, _, c in _components([r[:2] for r in want], 5, 8, 10)}
+    want = [r for r in want if r[0] is None or component[r[0]] == r[0]]
+    assert outs[1] == want and len(want) < len(outs[0])
+
+    def leaks(text):
+        w = decontam.words_of(text)
+        return any(decontam.edit_distance(w[s : s + len(m)], m, k) <= k for _, it in items for m in [decontam.words_of(it)] for k in [len(m) // 5 if len(m) >= 8 else 0] for s in range(max(1, len(w) - len(m) + 1)))
+
+    want = [r for r in want if r[0] is None or not leaks(r[1])]
+    assert outs[2] == want and len(want) < len(outs[1])
+    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(want, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert outs[3] == sorted((r for r in want for _ in range(copies[r[0]])), key=str)
+    assert all(n <= 3 for n in copies.values())
+    assert outs[4] == sorted(((*r, _shard(r[0], dict.fromkeys(range(24), 1.0))) for r in outs[3]), key=str)
+    held = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    assert sorted(map(tuple, pipeline.run(spark, str(tmp_path)).collect()), key=str) == outs[4]
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - held
+    # the result, and what its plan would have read again
+    assert len(left) <= 2
+
+
+def test_pipeline_of_no_documents(spark, sf, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
