@@ -1,8 +1,8 @@
 """Grouped prefix join of documents by the Jaccard similarity of their word n-grams, with connected components.
 
-1. Arrow functions turn each text into its set of 64-bit shingle hashes. Shingles that are frequent within any block of
-   documents are counted exactly over all of them; the most frequent come last in the global token order, which keeps
-   them out of prefixes (an order, not a filter: nothing is dropped).
+1. Arrow functions turn each text into its set of 64-bit shingle hashes. Shingles that repeat within any block of
+   documents are counted over all blocks; the most frequent come last in the global token order, which keeps them out of
+   prefixes (an order, not a filter: nothing is dropped).
 2. Documents with equal sets are one node. Nodes with the same size and the same prefix are one group, and postings
    (token -> group) hold groups.
 3. Links are looked for in rounds. A star round compares the members of a token's groups, or of one group, with one of
@@ -42,9 +42,9 @@ SKETCH_LONGS = 4
 #: Sets above this size also have a sketch of 4,096 bits, as a small one is full; it filters pairs, not postings.
 WIDE_FROM = 600
 #: Block of documents within which a shingle is counted, in shingles, and the count from which it is reported.
-BLOCK, REPORT = 1_000_000, 4
+BLOCK, REPORT = 2_000_000, 2
 #: Shingles that the order knows as frequent, at most; a bound on what is broadcast, not on what is compared.
-ORDERED = 1 << 17
+ORDERED = 1 << 19
 STAR_ROUNDS = 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Base of the words' polynomial hash, odd, and its inverse modulo 2**64.
@@ -128,7 +128,7 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
 
 def _frequent(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, count = _Powers(), [], 0
+        powers, held, count, seen = _Powers(), [], 0, set()
 
         def report():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -137,11 +137,17 @@ def _frequent(n: int):
 
         for batch in batches:
             for s in shingle_sets(_texts(batch), n, powers):
+                # copies are one node, so they do not make their shingles frequent
+                digest = xxhash.xxh128_digest(s.tobytes())
+                if digest in seen:
+                    continue
+                seen.add(digest)
                 held.append(s)
                 count += len(s)
                 if count >= BLOCK:
                     yield report()
                     held, count = [], 0
+                    seen.clear()
         if held:
             yield report()
 
@@ -226,8 +232,8 @@ def links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Stag
 
 
 def _far(a: str, b: str) -> Column:
-    """Bits in which two sketches differ."""
-    return F.expr(" + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_LONGS)))
+    """Bits in which the sketches a and b differ."""
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_LONGS)))
 
 
 class _Rule:
@@ -279,6 +285,9 @@ def _cluster(docs: DataFrame, n: int, rule: _Rule) -> DataFrame:
     groups = nodes.groupBy("size", "p0", "p1").agg(F.min("node").alias("first"), F.count("*").alias("members"), F.max(F.struct(F.col("copies"), (-F.col("node")).alias("minus_node"))).alias("lead"))
     groups = Staged(groups.select("size", "p0", "p1", F.xxhash64("size", "p0", "p1", "first").alias("gid"), "first", "members", (-F.col("lead.minus_node")).alias("leader"))).df
     member_of = Staged(nodes.join(groups.select("size", "p0", "p1", "gid", "leader"), ["size", "p0", "p1"]).select("node", "gid", "leader", "size", "sketch")).df
+    # a group's sketch is its leader's; no member's is farther from it than the radius
+    shape = Staged(member_of.where("node = leader").dropDuplicates(["gid"]).select("gid", F.col("sketch").alias("lead"))).df
+    shape = Staged(member_of.join(shape, "gid").groupBy("gid").agg(F.first("lead").alias("lead"), F.max(_far("sketch", "lead")).alias("radius"))).df
     # every token of every group's prefix; those of one group only end here, with 16 bytes moved for each: the pairs within
     # a group do not need them
     of_group = groups.select("gid", F.col("first").alias("doc_id"), F.col("size").alias("n_shingles"), "p0", "p1")
@@ -304,7 +313,7 @@ def _cluster(docs: DataFrame, n: int, rule: _Rule) -> DataFrame:
             spread = Staged(named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))).df
             mixed = posts.select("token", "gid").join(spread, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
             opened = Staged(posts.join(mixed, "token").select("token", "pos", "gid", "size")).df
-            pairs = _across(opened, spread, named, rule) if k == STAR_ROUNDS - 1 else _nearest(_sketched(_stars(opened, spread, named), member_of, rule))
+            pairs = _across(opened, spread, shape, named, rule) if k == STAR_ROUNDS - 1 else _nearest(_sketched(_stars(opened, spread, named), member_of, rule))
             found = check(pairs).df
             if not found.isEmpty():
                 comps = scope.keep(Staged(merged(comps, found)))
@@ -326,17 +335,19 @@ def _stars(opened: DataFrame, spread: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.union(inner).distinct()
 
 
-def _across(opened: DataFrame, spread: DataFrame, named: DataFrame, rule: _Rule) -> DataFrame:
+def _across(opened: DataFrame, spread: DataFrame, shape: DataFrame, named: DataFrame, rule: _Rule) -> DataFrame:
     """The last round's pairs (u, v) of nodes of different components: pairs of *groups* that meet in a posting and pass
-    the size and position filters, and each group with itself, are opened into their members, whose sketches are compared.
-    Pairs of groups that lie in one and the same component are not opened."""
-    posts = opened.join(spread, "gid").withColumn("band", rule.band("size"))
+    the size, position and sketch filters, and each group with itself, are opened into their members, whose own sketches
+    are compared. Sketches of members differ in no fewer bits than those of their groups, less both radii. Pairs of groups
+    that lie in one and the same component are not opened."""
+    posts = opened.join(spread, "gid").join(shape, "gid").withColumn("band", rule.band("size"))
     left = posts.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    met = left.alias("a").join(posts.alias("b"), ["token", "band"]).where(F.expr(f"{rule.places('a', 'b')} AND (a.lo <> a.hi OR b.lo <> b.hi OR a.lo <> b.lo)"))
-    groups = met.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct().union(spread.where("lo <> hi").select("gid", "gid"))
+    apart = F.expr(f"{rule.places('a', 'b')} AND (a.lo <> a.hi OR b.lo <> b.hi OR a.lo <> b.lo)") & (_far("a.lead", "b.lead") - F.col("a.radius") - F.col("b.radius") <= rule.most("a", "b"))
+    groups = left.alias("a").join(posts.alias("b"), ["token", "band"]).where(apart).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
+    groups = groups.union(spread.where("lo <> hi").select("gid", "gid"))
     x = named.select(F.col("gid").alias("ga"), F.struct("node", "size", "sketch", "comp").alias("a"))
     y = named.select(F.col("gid").alias("gb"), F.struct("node", "size", "sketch", "comp").alias("b"))
-    pairs = groups.join(x, "ga").join(y, "gb").where(F.expr("a.comp <> b.comp AND (ga <> gb OR a.node < b.node)") & (_far("a", "b") <= rule.most("a", "b")))
+    pairs = groups.join(x, "ga").join(y, "gb").where(F.expr("a.comp <> b.comp AND (ga <> gb OR a.node < b.node)") & (_far("a.sketch", "b.sketch") <= rule.most("a", "b")))
     return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
@@ -344,7 +355,7 @@ def _sketched(pairs: DataFrame, member_of: DataFrame, rule: _Rule) -> DataFrame:
     """Of the pairs (u, v) of nodes, those that sizes and sketches allow, with the distance that the sketches show."""
     x = member_of.select(F.col("node").alias("u"), F.struct("size", "sketch").alias("a"))
     y = member_of.select(F.col("node").alias("v"), F.struct("size", "sketch").alias("b"))
-    far = _far("a", "b")
+    far = _far("a.sketch", "b.sketch")
     return pairs.join(x, "u").join(y, "v").where(F.expr(rule.sizes("a", "b")) & (far <= rule.most("a", "b"))).select("u", "v", far.alias("far"))
 
 
