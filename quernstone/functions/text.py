@@ -35,6 +35,12 @@ def grams(words: Column | str, n: int) -> Column:
     return let(_c(words), lambda w: F.when(F.size(w) >= n, joined(w)).otherwise(F.array().cast("array<string>")))
 
 
+def gram_hashes(words: Column | str, n: int) -> Column:
+    """64-bit hashes of the n-grams; none of fewer than n words."""
+    hashed = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))
+    return let(_c(words), lambda w: F.when(F.size(w) >= n, hashed(w)).otherwise(F.array().cast("array<bigint>")))
+
+
 def squash(text: Column | str) -> Column:
     """Blank runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(_c(text), r"[ \t\n\r\f\x0B]+", " "))

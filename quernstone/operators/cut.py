@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder in spark.checkpoint.dir, which driver and executors share; None where it is unset and all of Spark is in this process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and (path := spark.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once: as a checkpoint in the session's shared folder, or cached where the session has none (single machine, tests)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df, computed once: as a checkpoint in the shared folder, or cached where there is none (one process, tests)."""
+    return df.checkpoint() if shared_dir(df.sparkSession) else df.persist()

@@ -13,6 +13,16 @@ def _rank(df: DataFrame, by: list[str], *order: Column, name: str = "_rank") ->
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+def running(df: DataFrame, by: str, order: str, value: str, width: int = 4096) -> DataFrame:
+    """df with `before`, the sum of value over the rows of the group that come earlier, and `total`, of all of them. order is
+    an integer; rows are summed in bins of `width` of it, so that a hot group is many tasks and only the bins' sums meet in one."""
+    binned = df.withColumn("_bin", F.floor(F.col(order) / width))
+    sums = binned.groupBy(by, "_bin").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(by, "_bin", (F.sum("_sum").over(W.partitionBy(by).orderBy("_bin")) - F.col("_sum")).alias("_earlier"), F.sum("_sum").over(W.partitionBy(by)).alias("total"))
+    inner = binned.withColumn("_own", F.sum(value).over(W.partitionBy(by, "_bin").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(value))
+    return inner.join(sums, [by, "_bin"]).withColumn("before", F.col("_earlier") + F.col("_own")).drop("_bin", "_earlier", "_own")
+
+
 def hash_split(df: DataFrame, key: str, salt: str, shares: dict[str, float]) -> DataFrame:
     return df.withColumn("split", split_name(unit(salt, key), shares))
 
@@ -103,8 +113,9 @@ def balanced_class_draw(df: DataFrame, label: str, key: str, salt: str, most: in
 
 def paired_draw(df: DataFrame, label: str, key: str, salt: str, n: int) -> DataFrame:
     """The first n (positive, negative) pairs in hash order: pair, positive, negative."""
-    side = lambda y, name: _rank(df.where(F.col(label) == y), [], keyed(salt, key), F.col(key), name="pair").select("pair", F.col(key).alias(name))
-    return side(1, "positive").where(F.col("pair") <= n).join(side(0, "negative").where(F.col("pair") <= n), "pair")
+    # only the first n of each side meet in a task
+    side = lambda y, name: _rank(hash_order_limit(df.where(F.col(label) == y), key, salt, n), [], keyed(salt, key), F.col(key), name="pair").select("pair", F.col(key).alias(name))
+    return side(1, "positive").join(side(0, "negative"), "pair")
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, salt: str) -> DataFrame:

@@ -204,13 +204,14 @@ def apply_removals(spark, d):
 
 @query("gram_cooccurrence_selfjoin", f"WITH {_gram_sql('g', 'doc_id', 'documents')}, d AS (SELECT DISTINCT id, gram FROM g), c AS (SELECT gram FROM d GROUP BY gram HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT id, gram FROM d JOIN c USING (gram)), n AS (SELECT id, count(*) AS n FROM d GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM k AS a JOIN k AS b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2) SELECT a, b, shared, round(shared / least(x.n, y.n)::DOUBLE, 6) AS ratio FROM p JOIN n AS x ON a = x.id JOIN n AS y ON b = y.id WHERE shared / least(x.n, y.n)::DOUBLE >= 0.3")
 def gram_cooccurrence_selfjoin(spark, d):
-    g = overlap.positions(docs(spark, d), "doc_id", "text").select("doc_id", F.md5("gram").alias("gram")).distinct()
-    own = g.groupBy("doc_id").agg(F.count("*").alias("n"))
-    rare = g.groupBy("gram").agg(F.count("*").alias("c")).where("c BETWEEN 2 AND 20").select("gram")
-    k = g.join(rare, "gram")
-    p = k.alias("x").join(k.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id"))).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("shared"))
-    p = p.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    ratio = F.col("shared") / F.least("na", "nb")
+    """Grams as 64-bit hashes, distinct within their text at the source; lists of at most 20 texts for each gram give the pairs."""
+    g = docs(spark, d).select("doc_id", F.array_distinct(T.gram_hashes(T.collapse_runs(T.tokens("text")), overlap.GRAM)).alias("g"))
+    each = g.select(F.struct("doc_id", F.size("g").alias("n")).alias("x"), F.explode("g").alias("gram"))
+    rare = each.groupBy("gram").agg(F.count("*").alias("c")).where("c BETWEEN 2 AND 20").select("gram")
+    lists = each.join(rare, "gram").groupBy("gram").agg(F.sort_array(F.collect_list("x")).alias("l"))
+    later = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    p = lists.select(F.explode(later).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared")).select("a.doc_id", F.col("b.doc_id").alias("b_id"), "shared", F.least("a.n", "b.n").alias("least")).toDF("a", "b", "shared", "least")
+    ratio = F.col("shared") / F.col("least")
     return p.where(ratio >= 0.3).select("a", "b", "shared", F.round(ratio, 6).alias("ratio"))
 
 
@@ -232,14 +233,20 @@ def substring_join(spark, d):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     p = p.withColumn("_w", words(F.col("piece"))).where(F.size("_w") >= 5).withColumn("a", F.xxhash64(F.slice("_w", 2, 3)))
     w = docs(spark, d).select("doc_id", words(F.col("text")).alias("_t")).where(F.size("_t") >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_t") - 2), lambda i: F.xxhash64(F.slice("_t", i, 3))))).alias("a"))
-    near = w.join(F.broadcast(p.select("item_id", "piece", "a")), "a").select("item_id", "piece", "doc_id").distinct()
+    p = p.select("item_id", "piece", "a")
+    near = w.join(overlap._small(p, p.count()), "a").select("item_id", "piece", "doc_id").distinct()
     return near.join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("piece"))).groupBy("item_id", "doc_id").agg(F.count("*").alias("pieces")).where("pieces >= 2")
 
 
 @query("join_exact_hash", "SELECT a.doc_id, min(b.doc_id) AS first_id FROM documents AS a JOIN documents AS b ON md5(trim(a.text)) = md5(trim(b.text)) AND b.source < a.source GROUP BY a.doc_id")
 def join_exact_hash(spark, d):
+    """Documents whose text an earlier source has, with the least such document: a row for each (text, source), so a hot text costs its sources, not its pairs."""
+    from pyspark.sql import Window as W
+
     x = docs(spark, d).select("doc_id", "source", F.md5(F.trim("text").cast("binary")).alias("k"))
-    return x.alias("x").join(x.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("y.source") < F.col("x.source"))).groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.min("y.doc_id").alias("first_id"))
+    per = x.groupBy("k", "source").agg(F.min("doc_id").alias("least"))
+    first = per.withColumn("first_id", F.min("least").over(W.partitionBy("k").orderBy("source").rowsBetween(W.unboundedPreceding, -1)))
+    return x.join(first.where("first_id IS NOT NULL").select("k", "source", "first_id"), ["k", "source"]).select("doc_id", "first_id")
 
 
 @query("semi_joins", "SELECT count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_semi, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_anti FROM documents")
@@ -265,11 +272,11 @@ def except_seen(spark, d):
     return docs(spark, d).select("doc_id").exceptAll(table(spark, d, "labels").select("doc_id"))
 
 
-SIZES = "(SELECT source, count(*) AS size FROM documents WHERE lang <> 'en' GROUP BY source)"
+SIZES = "(SELECT source, count(*) AS size FROM documents GROUP BY source)"
 
 
 def sizes(spark, d):
-    return docs(spark, d).where("lang <> 'en'").groupBy("source").agg(F.count("*").alias("size"))
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("size"))
 
 
 @query("apportion", f"WITH e AS (SELECT source, size, 137 * size / sum(size) OVER ()::DOUBLE AS exact FROM {SIZES}), k AS (SELECT *, floor(exact) AS f, row_number() OVER (ORDER BY exact - floor(exact) DESC, source) AS k FROM e) SELECT source, size, CAST(f + CASE WHEN k <= 137 - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM k")
@@ -277,7 +284,7 @@ def apportion(spark, d):
     return sampling.apportion(sizes(spark, d), "source", "size", 137)
 
 
-@query("water_fill")
+@query("water_fill", f"WITH s AS (SELECT source, size FROM {SIZES}), c AS (SELECT max(x.c) AS cap FROM range(212) AS x(c) WHERE (SELECT sum(least(size, x.c)) FROM s) <= 211), k AS (SELECT source, size, least(size, cap) AS take, row_number() OVER (ORDER BY size DESC, source) AS j FROM s, c) SELECT source, size, CAST(take + CASE WHEN size > take AND j <= 211 - sum(take) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM k")
 def water_fill(spark, d):
     return sampling.water_fill(sizes(spark, d), "source", "size", 211)
 

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.hashing import keyed, unit
 from ..operators import metrics as M
 from ..operators import overlap, sampling
+from ..operators.cut import shared_dir
 from ..sources import files
 from ..streaming import journal as streams
 from .registry import h, query, table, u
@@ -19,8 +20,8 @@ from .scoring import ANSWERS, answers, scored
 
 
 def scratch(spark) -> str:
-    """A folder that all executors share; the session's, or a temporary one on a single machine."""
-    shared = spark.sparkContext.getCheckpointDir()
+    """A new folder that all executors share: in the session's, or a temporary one where all of Spark is in this process."""
+    shared = shared_dir(spark)
     return f"{shared}/scratch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quernstone-")
 
 
@@ -97,13 +98,6 @@ def windowed_events(spark, d):
     return streams.daily(spark, d, scratch(spark)).select("day", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("pack_windows", "WITH t AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\n]+')) + 1 AS n FROM documents), c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM t) SELECT source, CAST(floor(max(e) / 1024) AS BIGINT) AS windows, CAST(max(e) % 1024 AS BIGINT) AS dropped FROM c GROUP BY source")
-def pack_windows(spark, d):
-    n = (F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))) + 1).cast("bigint")
-    total = table(spark, d, "documents").groupBy("source").agg(F.sum(n).alias("e"))
-    return total.select("source", F.floor(F.col("e") / 1024).cast("bigint").alias("windows"), (F.col("e") % 1024).alias("dropped"))
-
-
 @query("licence_predicate", "SELECT count(*) FILTER (WHERE regexp_matches(lower(text), 'licen[cs]e|cc by|rights reserved')) AS shown, count(*) FILTER (WHERE regexp_matches(lower(text), 'licen[cs]e|cc by|rights reserved') AND regexp_matches(lower(text), 'by-nc|all rights reserved|gnu general')) AS denied FROM documents")
 def licence_predicate(spark, d):
     t = F.lower("text")
@@ -125,7 +119,7 @@ def sentence_reject(spark, d):
 @query("ocr_glued")
 def ocr_glued(spark, d):
     """Words that are two frequent words run together: the vocabulary meets itself at every cut of a word."""
-    w = table(spark, d, "documents").where("lang = 'en'").select(F.explode(T.tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    w = table(spark, d, "documents").select(F.explode(T.tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     frequent = w.where("n >= 50 AND length(w) >= 3").select("w")
     cuts = w.where("n < 50 AND length(w) >= 6").select("w", F.explode(F.sequence(F.lit(3), F.length("w") - 3)).alias("c"))
     halves = cuts.select("w", F.expr("substring(w, 1, c)").alias("a"), F.expr("substring(w, c + 1)").alias("b"))
@@ -314,11 +308,6 @@ def row_validation(spark, d):
     return answers(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("canonical_json", "SELECT event_id, sha256(CAST(event_id AS VARCHAR) || ':' || event_type) AS id FROM events")
-def canonical_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.sha2(F.concat_ws(":", F.col("event_id").cast("string"), "event_type"), 256).alias("id"))
-
-
 @query("expected_level", f"WITH {ANSWERS} SELECT doc_id, model, round(p1 + 2 * p2, 6) AS level, round(pow(p0, 0.5) / (pow(p0, 0.5) + pow(p1, 0.5) + pow(p2, 0.5)), 6) AS tempered FROM a")
 def expected_level(spark, d):
     return answers(spark, d).select("doc_id", "model", F.round(F.col("probs")[1] + 2 * F.col("probs")[2], 6).alias("level"), F.round(M.temper(F.col("probs"), 2.0)[0], 6).alias("tempered"))
@@ -329,11 +318,6 @@ def parse_distribution(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.page")).alias("n_page"))
 
 
-@query("half_half_quota_select", f"WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {h('quota', 'doc_id')}, doc_id) AS k FROM labels) SELECT doc_id, toxic FROM r WHERE k <= 15")
-def half_half_quota_select(spark, d):
-    return sampling.cap_per_group(table(spark, d, "labels"), "toxic", "doc_id", "quota", 15).select("doc_id", "toxic")
-
-
 @query("shuffle_prefix", f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {h('prefix', 'doc_id')}, doc_id) AS k FROM documents) WHERE k <= 7")
 def shuffle_prefix(spark, d):
     return sampling.cap_per_group(table(spark, d, "documents"), "source", "doc_id", "prefix", 7).select("doc_id", "source")

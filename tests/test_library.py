@@ -1,6 +1,7 @@
 """The library's queries against DuckDB at the smallest scale, and the semantics that are easy to get wrong."""
 
 import math
+import random
 import subprocess
 import sys
 
@@ -18,6 +19,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COMPARED = [
     "contaminated_documents", "set_rule", "dedupe_exact_text", "dedupe_normalised", "remove_split_leaks", "hash_split", "apportion", "stratified_take", "matched_cells",
     "cap_top_share", "systematic_fraction", "mask_pii", "lang_filter", "read_csv_tsv", "journal_stream", "windowed_events", "accuracy", "macro_f1", "ece_binned", "augrc",
+    "item_gold_join", "join_qrels", "confusion_guard", "saturated_datasets", "pack_windows", "canonical_json", "half_half_quota_select", "join_exact_hash", "paired_draw", "water_fill",
     "coverage_at_risk", "bootstrap_ci", "geometric_mean_board", "confident_flags", "collect_gold", "result_diff", "substring_join", "gram_cooccurrence_selfjoin",
 ]
 
@@ -64,6 +66,28 @@ def test_coverage_counts_tokens_not_grams(spark):
     assert got == {(1, 7, "covers_reference"): 1.0, (2, None, "ngram"): 1.0, (2, 7, "covers_reference"): 1.0, (2, 7, "whole"): 1.0, (4, 8, "whole"): 1.0}
 
 
+def test_near_pairs_finds_what_is_near(spark):
+    """Pairs of five-word shingles at similarities around 0.8, against all pairs."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(0, 300, 2):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        v = list(w)
+        for p in rng.sample(range(120), 1 + i % 6):
+            v[p] = f"x{rng.randrange(10**6)}"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    want = {(i, i + 1) for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    got = {(r.a, r.b) for r in overlap.near_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 0
+
+
+def test_running_sums_over_bins(spark):
+    rows = [(g, i * 37 % 1000 - 200, i % 5) for i in range(500) for g in ("a", "b")]
+    got = {(r.g, r.i): (r.before, r.total) for r in sampling.running(spark.createDataFrame(rows, "g string, i long, n long"), "g", "i", "n", 16).collect()}
+    assert got == {(g, i): (sum(n for h, j, n in rows if h == g and j < i), sum(n for h, _, n in rows if h == g)) for g, i, _ in rows}
+
+
 def test_water_fill_and_apportion(spark):
     sizes = spark.createDataFrame([("a", 2), ("b", 10), ("c", 10)], "g string, n long")
     assert {r.g: r.share for r in sampling.water_fill(sizes, "g", "n", 13).collect()} == {"a": 2, "b": 6, "c": 5}
