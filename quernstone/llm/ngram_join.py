@@ -154,6 +154,24 @@ def _frequent(n: int):
     return run
 
 
+def _late(seen: DataFrame, room: int = ORDERED) -> np.ndarray:
+    """The most frequent tokens of seen(token, df), the least frequent of them first: room at most. Of the class of
+    frequencies that does not fit whole, the hash of a token decides. The driver gets a count for each class (16 to a
+    doubling) and those tokens, as Arrow."""
+    level, part = F.floor(F.log2("df") * 16).cast("int"), F.pmod(F.xxhash64("token"), F.lit(1 << 20))
+    last, below, left = None, 0, room
+    for r in sorted(seen.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        last, below = r["level"], (1 << 20) * min(left, r["n"]) // r["n"]
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    if last is None:
+        return np.empty(0, np.uint64)
+    found = seen.where((level > last) | (level == last) & (part < below)).toArrow()
+    token, df = found.column("token").to_numpy(), found.column("df").to_numpy()
+    return token[np.lexsort((token, -df))[:room][::-1]].view(np.uint64)
+
+
 def _sketch(s: np.ndarray, shift: int, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((s >> np.uint64(shift)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
@@ -274,7 +292,7 @@ def cluster(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
 def _cluster(docs: DataFrame, n: int, rule: _Rule) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seen = Staged(docs.select("text").mapInArrow(_frequent(n), "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df")), batch=1000).df
-    late = np.array([r["token"] for r in seen.orderBy(F.desc("df"), "token").limit(ORDERED).collect()][::-1], np.int64).view(np.uint64)
+    late = _late(seen)
     made = Staged(docs.mapInArrow(_prefixes(n, rule.num, rule.den, late), "doc_id bigint, n_shingles int, k0 bigint, k1 bigint, p0 bigint, p1 bigint, prefix array<bigint>, sketch array<bigint>, wide array<bigint>"), batch=1000).df
     whole = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # a node is a document that stands for all that have its set; one whose rows have several sets stands for each of them
