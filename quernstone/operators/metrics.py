@@ -132,3 +132,27 @@ def board(blocks: DataFrame, model: str, axis: str, value: str, weights: dict[st
     mean = F.when(F.min(value) <= 0, F.lit(0.0)).otherwise(F.exp(F.sum(F.col("_w") * F.ln(F.when(F.col(value) > 0, F.col(value)))) / F.sum("_w")))
     out = used.groupBy(model).agg(mean.alias("composite"))
     return out.withColumn("place", F.rank().over(W.orderBy(F.desc("composite"))))
+
+
+def confident(rows: DataFrame, task: str, key: str) -> DataFrame:
+    """(task, key) of the scored rows whose given label looks wrong, by confident learning with pruning by noise rate.
+
+    An outcome's bar is the mean probability of the outcome on rows given it. A row counts in the joint at its given label
+    and the likeliest outcome above its bar; a given label's counts are stretched to its rows. From each cell off the
+    diagonal the stretched number of rows with the largest margins of outcome over label is flagged, if above zero. Margins
+    are counted in 1,024 bins first, so that only the bin in which a cell's number runs out is ranked."""
+    wide = rows.select(task, key, "gold", F.posexplode("probs").alias("k", "p"), F.get("probs", F.col("gold")).alias("pg"))
+    bars = rows.groupBy(task, F.col("gold").alias("k")).agg(F.avg(F.get("probs", F.col("gold"))).alias("bar"))
+    per = bars.groupBy(task).agg(F.map_from_entries(F.collect_list(F.struct("k", "bar"))).alias("bars"))
+    at = F.transform("probs", lambda x, i: F.when(x >= F.try_element_at("bars", i), F.struct(x.alias("p"), i.alias("k"))))
+    joint = rows.join(per, task).select(task, "gold", F.array_max(at)["k"].alias("k")).groupBy(task, "gold", "k").agg(F.count("*").alias("n"))
+    given = W.partitionBy(task, "gold")
+    share = F.col("n") / F.sum(F.when(F.col("k").isNotNull(), F.col("n"))).over(given) * F.sum("n").over(given)
+    quota = joint.select(task, "gold", "k", F.bround(share).cast("bigint").alias("quota")).where("k <> gold")
+    cell = [task, "gold", "k"]
+    margins = wide.where("k <> gold AND p > pg").select(*cell, key, (F.col("p") - F.col("pg")).alias("margin")).withColumn("bin", F.floor((1 - F.col("margin")) * 1024))
+    bins = margins.groupBy(*cell, "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy(*cell).orderBy("bin")))
+    bins = bins.join(quota, cell).where("upto - n < quota").select(*cell, "bin", F.when(F.col("upto") > F.col("quota"), F.col("quota") - F.col("upto") + F.col("n")).alias("room"))
+    near = margins.join(bins, [*cell, "bin"])
+    last = near.where("room IS NOT NULL").withColumn("rank", F.row_number().over(W.partitionBy(*cell, "bin").orderBy(F.desc("margin"), F.desc(key))))
+    return near.where("room IS NULL").select(task, key).union(last.where("rank <= room").select(task, key)).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import keyed, unit
+from ..functions.votes import distribution
 from ..operators import metrics as M
 from ..operators import overlap, sampling
 from ..operators.cut import shared_dir
@@ -313,9 +314,19 @@ def expected_level(spark, d):
     return answers(spark, d).select("doc_id", "model", F.round(F.col("probs")[1] + 2 * F.col("probs")[2], 6).alias("level"), F.round(M.temper(F.col("probs"), 2.0)[0], 6).alias("tempered"))
 
 
-@query("parse_distribution", "SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.page')) AS n_page FROM events GROUP BY 1")
+_OFF = f"(round({u('off', 'doc_id')} * 0.2::DOUBLE, 4) + 0.00005::DOUBLE)"
+
+
+@query("parse_distribution", f"WITH {ANSWERS}, x AS (SELECT *, {h('mute', 'doc_id')} % 50 = 0 AS mute, {_OFF} AS off FROM a), y AS (SELECT *, CASE WHEN mute THEN 'no logprobs' WHEN off > 0.1 THEN 'low mass' END AS reason FROM x) SELECT doc_id, model, reason, CASE WHEN reason IS NULL THEN round(p0, 6) END AS a, CASE WHEN reason IS NULL THEN round(p1, 6) END AS b, CASE WHEN reason IS NULL THEN round(p2, 6) END AS c, CASE WHEN reason IS NULL THEN round(off, 6) END AS off_mass FROM y")
 def parse_distribution(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.page")).alias("n_page"))
+    """Judges' responses (made from the answers, as JSON) -> distribution over the options, and the mass off the letters."""
+    x = answers(spark, d).withColumn("off", F.round(unit("off", "doc_id") * 0.2, 4) + 0.00005)
+    p = lambda k, part: F.ln(F.col("probs")[k] * (1 - F.col("off")) * part)
+    said = [(" A", p(0, 0.75)), ("a", p(0, 0.25)), ("(B)", p(1, 1.0)), ("C.", p(2, 1.0)), ("The", F.ln("off")), ("ı", F.lit(-20.0))]
+    top = F.when(F.pmod(keyed("mute", "doc_id"), F.lit(50)) != 0, F.array(*[F.struct(F.lit(t).alias("token"), v.alias("logprob")) for t, v in said]))
+    response = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(top.alias("top_logprobs"))).alias("content")).alias("logprobs"))).alias("choices")))
+    r = x.select("doc_id", "model", response.alias("response")).select("doc_id", "model", distribution("response", 3).alias("r"))
+    return r.select("doc_id", "model", "r.reason", *[F.round(F.get("r.probs", F.lit(k)), 6).alias(n) for k, n in enumerate("abc")], F.round("r.off_mass", 6).alias("off_mass"))
 
 
 @query("shuffle_prefix", f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {h('prefix', 'doc_id')}, doc_id) AS k FROM documents) WHERE k <= 7")

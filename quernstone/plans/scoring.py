@@ -213,14 +213,16 @@ def collect_gold(spark, d):
     return v.select("doc_id", F.when(known, F.col("quality")).when(agreed, F.col("p")).alias("gold"), F.when(known, "known").when(agreed, "agreed").otherwise("open").alias("basis"))
 
 
-@query("confident_flags", f"WITH {ANSWERS}, t AS (SELECT model, gold AS k, avg(pg) AS t FROM sc GROUP BY 1, 2), g AS (SELECT sc.*, (SELECT t FROM t WHERE t.model = sc.model AND k = 0) AS t0, (SELECT t FROM t WHERE t.model = sc.model AND k = 1) AS t1, (SELECT t FROM t WHERE t.model = sc.model AND k = 2) AS t2 FROM sc) SELECT model, gold, CASE WHEN p0 >= t0 AND p0 >= (CASE WHEN p1 >= t1 THEN p1 ELSE 0 END) AND p0 >= (CASE WHEN p2 >= t2 THEN p2 ELSE 0 END) THEN 0 WHEN p1 >= t1 AND p1 >= (CASE WHEN p2 >= t2 THEN p2 ELSE 0 END) THEN 1 WHEN p2 >= t2 THEN 2 ELSE -1 END AS guess, count(*) AS n FROM g GROUP BY 1, 2, 3")
+@query("confident_flags", f"""WITH {ANSWERS}, t AS (SELECT model, gold AS k, avg(pg) AS bar FROM sc GROUP BY 1, 2),
+l AS (SELECT model, doc_id, gold, pg, unnest([0, 1, 2]) AS k, unnest([p0, p1, p2]) AS p FROM sc),
+o AS (SELECT l.model, l.gold, l.k, row_number() OVER (PARTITION BY l.model, l.doc_id ORDER BY l.p DESC, l.k DESC) AS r FROM l JOIN t ON t.model = l.model AND t.k = l.k WHERE l.p >= t.bar),
+j AS (SELECT model, gold, k, count(*) AS n FROM o WHERE r = 1 GROUP BY 1, 2, 3),
+g AS (SELECT model, gold, count(*) AS n_given FROM sc GROUP BY 1, 2),
+q AS (SELECT j.model, j.gold, j.k, round_even(n / sum(n) OVER (PARTITION BY j.model, j.gold)::DOUBLE * n_given, 0) AS quota FROM j JOIN g ON g.model = j.model AND g.gold = j.gold),
+r AS (SELECT *, row_number() OVER (PARTITION BY model, gold, k ORDER BY p - pg DESC, doc_id DESC) AS rank FROM l WHERE k <> gold)
+SELECT DISTINCT r.model, r.doc_id FROM r JOIN q ON q.model = r.model AND q.gold = r.gold AND q.k = r.k WHERE rank <= quota AND p > pg""")
 def confident_flags(spark, d):
-    s = scored(spark, d)
-    t = s.groupBy("model").pivot("gold", [0, 1, 2]).agg(F.avg(F.get("probs", F.col("gold")))).toDF("model", "t0", "t1", "t2")
-    x = s.join(F.broadcast(t), "model")
-    over = F.array(*[F.when(F.col("probs")[k] >= F.col(f"t{k}"), F.col("probs")[k]).otherwise(0.0) for k in range(3)])
-    guess = F.when(F.array_max(over) > 0, M.top(over)).otherwise(-1)
-    return x.select("model", "gold", guess.alias("guess")).groupBy("model", "gold", "guess").agg(F.count("*").alias("n"))
+    return M.confident(scored(spark, d), "model", "doc_id")
 
 
 @query("label_audit", f"WITH c AS (SELECT CASE WHEN {u('half', 'doc_id')} < 0.5 THEN 'public' ELSE 'private' END AS half, toxic, count(*) AS n FROM labels GROUP BY 1, 2) SELECT half, toxic, n, round(n / sum(n) OVER (PARTITION BY half)::DOUBLE, 6) AS share, n / sum(n) OVER (PARTITION BY half)::DOUBLE > 0.9 AS skewed FROM c")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.functions import votes
 from quernstone.operators import dedupe, metrics, overlap, sampling
 from quernstone.plans import catalog
 
@@ -20,7 +21,7 @@ COMPARED = [
     "contaminated_documents", "set_rule", "dedupe_exact_text", "dedupe_normalised", "remove_split_leaks", "hash_split", "apportion", "stratified_take", "matched_cells",
     "cap_top_share", "systematic_fraction", "mask_pii", "lang_filter", "read_csv_tsv", "journal_stream", "windowed_events", "accuracy", "macro_f1", "ece_binned", "augrc",
     "item_gold_join", "join_qrels", "confusion_guard", "saturated_datasets", "pack_windows", "canonical_json", "half_half_quota_select", "join_exact_hash", "paired_draw", "water_fill",
-    "coverage_at_risk", "bootstrap_ci", "geometric_mean_board", "confident_flags", "collect_gold", "result_diff", "substring_join", "gram_cooccurrence_selfjoin",
+    "coverage_at_risk", "bootstrap_ci", "geometric_mean_board", "confident_flags", "parse_distribution", "collect_gold", "result_diff", "substring_join", "gram_cooccurrence_selfjoin",
 ]
 
 
@@ -95,6 +96,39 @@ def test_water_fill_and_apportion(spark):
     assert sum(r.share for r in sampling.apportion(sizes, "g", "n", 7).collect()) == 7
 
 
+def test_letters_and_responses(spark):
+    tokens = [" A", "a", "(B", "C.", "(d.)", "ab", "", "ı", None]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(votes.letter(F.col("t")).alias("x")).collect()]
+    assert got == ["A", "A", "B", "C", "D", "", "", "", None]
+    row = lambda top: '{"choices": [{"logprobs": {"content": [{"top_logprobs": ' + top + "}]}}]}"
+    said = [row('[{"token": "A", "logprob": -0.05}, {"token": "x", "logprob": -9}]'), row('[{"token": "A", "logprob": -1}]'), row("[]"), row("null"), row('[{"token": "A"}]'), "{}", "no JSON", None]
+    got = [r.r for r in spark.createDataFrame([(t,) for t in said], "t string").select(votes.distribution("t", 2).alias("r")).collect()]
+    assert [r.reason for r in got] == [None, "low mass"] + ["no logprobs"] * 6
+    assert got[0].probs == [1.0, 0.0] and abs(got[0].off_mass - (1 - math.exp(-0.05))) < 1e-9 and got[1].probs is None
+
+
+def test_confident_flags_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        p = [rng.choice([1, 2, 3, 5, 9]) for _ in range(3)]
+        rows.append(("t", i, rng.choice([0, 0, 0, 1]) if i % 3 else 2, [x / sum(p) for x in p]))
+    label = {i: g for _, i, g, _ in rows}
+    probs = {i: p for _, i, _, p in rows}
+    of = {g: [i for i in label if label[i] == g] for g in range(3)}
+    bar = {g: math.fsum(probs[i][g] for i in of[g]) / len(of[g]) for g in of}
+    guess = {i: max(((p, k) for k, p in enumerate(probs[i]) if p >= bar[k]), default=(0, None))[1] for i in label}
+    want = set()
+    for g in of:
+        counted = [i for i in of[g] if guess[i] is not None]
+        for k in set(range(3)) - {g}:
+            quota = round(sum(guess[i] == k for i in counted) / len(counted) * len(of[g]))
+            ranked = sorted(((probs[i][k] - probs[i][g], i) for i in of[g]), reverse=True)
+            want |= {i for m, i in ranked[:quota] if m > 0}
+    got = metrics.confident(spark.createDataFrame(rows, "task string, id long, gold int, probs array<double>"), "task", "id")
+    assert {r.id for r in got.collect()} == want and 0 < len(want) < 600
+
+
 def test_label_conflict_drops_every_copy(spark):
     rows = spark.createDataFrame([(1, "x", 0), (2, "x", 1), (3, "y", 1), (4, "y", 1)], "id long, t string, l int")
     assert [(r.id, r.copies) for r in dedupe.exact_text(rows, "t", "l", "id").collect()] == [(3, 2)]
