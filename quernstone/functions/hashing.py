@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def digest(salt: str, *keys: Column | str) -> Column:
+    """SHA-256 of salt:key:key... in lower-case hexadecimal."""
+    return F.sha2(F.concat_ws(":", F.lit(salt), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]), 256)
+
+
 def keyed(salt: str, *keys: Column | str) -> Column:
     """60-bit integer of salt:key:key..."""
-    text = F.concat_ws(":", F.lit(salt), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest(salt, *keys), 1, 15), 16, 10).cast("bigint")
 
 
 def unit(salt: str, *keys: Column | str) -> Column:

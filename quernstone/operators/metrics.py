@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,10 +56,15 @@ def ece(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
 
 def _ties(df: DataFrame, by: list[str]) -> DataFrame:
-    """Groups of tied confidences, most confident first, with running rows and losses."""
-    groups = df.groupBy(*by, "confidence").agg(F.count("*").alias("n"), F.sum(1 - F.col("hit")).alias("loss"))
-    w = W.partitionBy(*by).orderBy(F.desc("confidence"))
-    return groups.withColumns({"rows": F.sum("n").over(w), "losses": F.sum("loss").over(w), "all": F.sum("n").over(W.partitionBy(*by))})
+    """Groups of tied confidences, most confident first, with running rows and losses: within 1,024 bins of confidence, to
+    which the bins' own running sums are added."""
+    groups = df.groupBy(*by, "confidence").agg(F.count("*").alias("n"), F.sum(1 - F.col("hit")).alias("loss")).withColumn("_bin", F.floor((1 - F.col("confidence")) * 1024))
+    bins = groups.groupBy(*by, "_bin").agg(F.sum("n").alias("_n"), F.sum("loss").alias("_loss"))
+    up, whole = W.partitionBy(*by).orderBy("_bin"), W.partitionBy(*by)
+    bins = bins.select(*by, "_bin", (F.sum("_n").over(up) - F.col("_n")).alias("_rows"), (F.sum("_loss").over(up) - F.col("_loss")).alias("_losses"), F.sum("_n").over(whole).alias("all"))
+    w = W.partitionBy(*by, "_bin").orderBy(F.desc("confidence"))
+    inner = groups.withColumns({"rows": F.sum("n").over(w), "losses": F.sum("loss").over(w)}).join(bins, [*by, "_bin"])
+    return inner.withColumns({"rows": F.col("rows") + F.col("_rows"), "losses": F.col("losses") + F.col("_losses")}).drop("_bin", "_rows", "_losses")
 
 
 def augrc(df: DataFrame, by: list[str]) -> DataFrame:
@@ -97,22 +104,42 @@ def holm(df: DataFrame, p: str, by: list[str]) -> DataFrame:
     return df.withColumn("_raw", raw).withColumn("adjusted", F.max("_raw").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_raw")
 
 
+#: How often an item is in a draw: Poisson(1), by where 32 bits of a hash fall among these bounds (its cumulated probabilities).
+POISSON = [f"{int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32):08x}" for k in range(9)]
+
+
+def resample(items: DataFrame, by: list[str], item: str, values: list[str], draws: int, salt: str) -> DataFrame:
+    """(by..., draw, means of the values over the resampled items), draws being a multiple of 8. An item's weight in a draw is a hash of (salt, item,
+    draw) alone, so that blocks share their resamples, and a draw is one aggregate with partial sums: nothing is ranked or joined."""
+    from ..functions.hashing import digest
+
+    blocks = items.select(*by, *values, F.col(item).alias("_item")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws // 8 - 1))))
+    hashed = blocks.withColumn("_hex", digest(salt, "_b", "_item"))
+    each = hashed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_u", F.expr("substring(_hex, 8 * _j + 1, 8)"))
+    weight = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        weight = F.when(F.col("_u") < POISSON[k], k).otherwise(weight)
+    weighted = each.select(*by, *values, (F.col("_b") * 8 + F.col("_j")).alias("draw"), weight.alias("_w")).where("_w > 0")
+    return weighted.groupBy(*by, "draw").agg(*[(F.sum(F.col("_w") * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))).alias(v) for v in values])
+
+
 def bootstrap(items: DataFrame, by: list[str], item: str, value: str, draws: int, salt: str) -> DataFrame:
-    """Percentile interval of the mean of value over resampled items. Slot s of draw d takes item hash(salt, d, s) mod n
-    of the items in their order, so blocks of equal items share their resamples. Items are aggregated before."""
-    from ..functions.hashing import keyed
+    """Percentile interval of the mean of value over resampled items. Items are aggregated before."""
+    means = resample(items, by, item, [value], draws, salt)
+    return means.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
-    ranked = items.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(item)) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*by)))
-    slots = ranked.select(*by, F.col("_i").alias("slot"), "_n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = slots.withColumn("_i", F.pmod(keyed(salt, "draw", "slot"), F.col("_n")))
-    means = picks.join(ranked.select(*by, "_i", value), [*by, "_i"]).groupBy(*by, "draw").agg(F.avg(value).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+def paired(items: DataFrame, by: list[str], item: str, gain: str, draws: int, salt: str) -> DataFrame:
+    """Mean of the paired differences, its percentile interval and the two-sided p: twice the smaller share of draws on a side of zero."""
+    observed = items.groupBy(*by).agg(F.avg(gain).alias("difference"))
+    side = lambda c: F.avg(c.cast("double"))
+    p = F.least(F.lit(1.0), 2 * F.least(side(F.col(gain) <= 0), side(F.col(gain) >= 0)))
+    q = resample(items, by, item, [gain], draws, salt).groupBy(*by).agg(F.percentile(gain, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), p.alias("p"))
+    return observed.join(q, by).select(*by, "difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
 
 
 def fit_temperature(df: DataFrame, by: list[str], probs: str, gold: str, low: float = 0.05, high: float = 20.0, points: int = 49) -> DataFrame:
     """The temperature of least cross-entropy on a grid even in log T; at a bound of the grid there is no fit, and 1.0 holds."""
-    import math
-
     grid = [math.exp(math.log(low) + i * (math.log(high) - math.log(low)) / (points - 1)) for i in range(points)]
     each = df.where(F.col(gold).isNotNull()).select(*by, F.col(probs).alias("_p"), F.col(gold).alias("_g"), F.explode(F.array(*[F.lit(t) for t in grid])).alias("t"))
     tempered = F.transform("_p", lambda x: F.when(x > 0, F.pow(x, 1 / F.col("t"))).otherwise(F.lit(0.0)))

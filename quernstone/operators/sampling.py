@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,13 @@ def _rank(df: DataFrame, by: list[str], *order: Column, name: str = "_rank") ->
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+def _match(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Join on `by`, nulls being equal; right's columns of these names go."""
+    other = right.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return left.join(other, same).drop(*[f"_of_{c}" for c in by])
+
+
 def running(df: DataFrame, by: str, order: str, value: str, width: int = 4096) -> DataFrame:
     """df with `before`, the sum of value over the rows of the group that come earlier, and `total`, of all of them. order is
     an integer; rows are summed in bins of `width` of it, so that a hot group is many tasks and only the bins' sums meet in one."""
@@ -20,7 +29,18 @@ def running(df: DataFrame, by: str, order: str, value: str, width: int = 4096) -
     sums = binned.groupBy(by, "_bin").agg(F.sum(value).alias("_sum"))
     sums = sums.select(by, "_bin", (F.sum("_sum").over(W.partitionBy(by).orderBy("_bin")) - F.col("_sum")).alias("_earlier"), F.sum("_sum").over(W.partitionBy(by)).alias("total"))
     inner = binned.withColumn("_own", F.sum(value).over(W.partitionBy(by, "_bin").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(value))
-    return inner.join(sums, [by, "_bin"]).withColumn("before", F.col("_earlier") + F.col("_own")).drop("_bin", "_earlier", "_own")
+    return _match(inner, sums, [by, "_bin"]).withColumn("before", F.col("_earlier") + F.col("_own")).drop("_bin", "_earlier", "_own")
+
+
+def hash_rank(df: DataFrame, by: list[str], salt: str, key: str) -> DataFrame:
+    """df with `_rank`, the row's place in the hash order of its group, and `_total`, the group's rows. Rows are ranked in 1,024
+    bins of the hash and the bins' counts added up, so that a hot group is many tasks and only counts of it meet in one."""
+    binned = df.withColumn("_h", keyed(salt, key)).withColumn("_bin", F.shiftright("_h", 50))
+    n = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*by)
+    sums = n.select(*by, "_bin", (F.sum("_n").over(group.orderBy("_bin")) - F.col("_n")).alias("_earlier"), F.sum("_n").over(group).alias("_total"))
+    inner = binned.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_bin").orderBy("_h", key)))
+    return _match(inner, sums, [*by, "_bin"]).withColumn("_rank", F.col("_earlier") + F.col("_own")).drop("_h", "_bin", "_earlier", "_own")
 
 
 def hash_split(df: DataFrame, key: str, salt: str, shares: dict[str, float]) -> DataFrame:
@@ -68,24 +88,24 @@ def water_fill(sizes: DataFrame, group: str, size: str, total: int) -> DataFrame
 def stratified_take(df: DataFrame, stratum: str, key: str, salt: str, total: int) -> DataFrame:
     """A proportional sample of total rows: apportioned quotas, hash order within the stratum."""
     quota = apportion(df.groupBy(stratum).agg(F.count("*").alias("_size")), stratum, "_size", total).select(stratum, "share")
-    return _rank(df, [stratum], keyed(salt, key), F.col(key)).join(F.broadcast(quota), stratum).where(F.col("_rank") <= F.col("share")).drop("_rank", "share")
+    return _match(hash_rank(df, [stratum], salt, key), quota, [stratum]).where("_rank <= share").drop("_rank", "_total", "share")
 
 
 def stratified_carve(df: DataFrame, stratum: str, key: str, salt: str, share: float) -> DataFrame:
     """`part`: held for the first share of every stratum, at least one and never all of a stratum of two or more; else kept."""
-    n = F.count("*").over(W.partitionBy(stratum))
+    n = F.col("_total")
     want = F.when(n >= 2, F.least(F.greatest(F.floor(n * share + 0.5), F.lit(1)), n - 1)).otherwise(0)
-    return _rank(df, [stratum], keyed(salt, key), F.col(key)).withColumn("part", F.when(F.col("_rank") <= want, "held").otherwise("kept")).drop("_rank")
+    return hash_rank(df, [stratum], salt, key).withColumn("part", F.when(F.col("_rank") <= want, "held").otherwise("kept")).drop("_rank", "_total")
 
 
 def systematic_fraction(df: DataFrame, stratum: str, key: str, salt: str, fraction: float) -> DataFrame:
     """Row i of the (stratum, hash) order is kept iff floor((i + 1) f) > floor(i f)."""
-    out = _rank(df, [stratum], keyed(salt, key), F.col(key))
-    return out.where(F.floor(F.col("_rank") * fraction) > F.floor((F.col("_rank") - 1) * fraction)).drop("_rank")
+    out = hash_rank(df, [stratum], salt, key)
+    return out.where(F.floor(F.col("_rank") * fraction) > F.floor((F.col("_rank") - 1) * fraction)).drop("_rank", "_total")
 
 
 def alternate_halves(df: DataFrame, stratum: str, key: str, salt: str) -> DataFrame:
-    return _rank(df, [stratum], keyed(salt, key), F.col(key)).withColumn("half", F.when(F.col("_rank") % 2 == 1, "public").otherwise("private")).drop("_rank")
+    return hash_rank(df, [stratum], salt, key).withColumn("half", F.when(F.col("_rank") % 2 == 1, "public").otherwise("private")).drop("_rank", "_total")
 
 
 def matched_cells(df: DataFrame, cell: str, label: str, key: str, salt: str) -> DataFrame:
@@ -93,22 +113,22 @@ def matched_cells(df: DataFrame, cell: str, label: str, key: str, salt: str) ->
     counts = df.groupBy(cell, label).agg(F.count("*").alias("_n"))
     labels = df.select(label).distinct().agg(F.count("*").alias("_all"))
     least = counts.groupBy(cell).agg(F.min("_n").alias("_least"), F.count("*").alias("_has")).join(F.broadcast(labels)).where("_has = _all")
-    return _rank(df, [cell, label], keyed(salt, key), F.col(key)).join(F.broadcast(least.select(cell, "_least")), cell).where(F.col("_rank") <= F.col("_least")).drop("_rank", "_least")
+    return _match(hash_rank(df, [cell, label], salt, key), least.select(cell, "_least"), [cell]).where("_rank <= _least").drop("_rank", "_total", "_least")
 
 
 def cap_top_share(df: DataFrame, group: str, answer: str, key: str, salt: str, cap: float) -> DataFrame:
     """The most common answer's share within a group is cut to cap: int(cap * others / (1 - cap)) of its rows stay."""
-    n = F.count("*").over(W.partitionBy(group, answer))
-    total = F.count("*").over(W.partitionBy(group))
-    limit = F.when(n > cap * total, F.floor(cap * (total - n) / (1 - cap) + 1e-9)).otherwise(n)
-    return _rank(df.withColumn("_limit", limit), [group, answer], keyed(salt, key), F.col(key)).where(F.col("_rank") <= F.col("_limit")).drop("_rank", "_limit")
+    counts = df.groupBy(group, answer).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(W.partitionBy(group)))
+    limit = F.when(F.col("_n") > cap * F.col("_all"), F.floor(cap * (F.col("_all") - F.col("_n")) / (1 - cap) + 1e-9)).otherwise(F.col("_n"))
+    limits = counts.select(group, answer, limit.alias("_limit"))
+    return _match(hash_rank(df, [group, answer], salt, key), limits, [group, answer]).where("_rank <= _limit").drop("_rank", "_total", "_limit")
 
 
 def balanced_class_draw(df: DataFrame, label: str, key: str, salt: str, most: int) -> DataFrame:
     """As many of each class as the rarest has, at most most / 2; one class only gives none."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     each = counts.agg(F.least(F.min("_n"), F.lit(most // 2)).alias("_each"), F.count("*").alias("_classes")).where("_classes > 1")
-    return _rank(df, [label], keyed(salt, key), F.col(key)).join(F.broadcast(each.select("_each"))).where(F.col("_rank") <= F.col("_each")).drop("_rank", "_each")
+    return hash_rank(df, [label], salt, key).join(F.broadcast(each.select("_each"))).where("_rank <= _each").drop("_rank", "_total", "_each")
 
 
 def paired_draw(df: DataFrame, label: str, key: str, salt: str, n: int) -> DataFrame:
@@ -120,7 +140,7 @@ def paired_draw(df: DataFrame, label: str, key: str, salt: str, n: int) -> DataF
 
 def round_robin(df: DataFrame, stratum: str, key: str, salt: str) -> DataFrame:
     """`turn`: rank within the stratum; orders by (turn, stratum hash) take one of each stratum in turn."""
-    return _rank(df, [stratum], keyed(salt, key), F.col(key), name="turn").withColumn("stratum_order", keyed(salt, stratum))
+    return hash_rank(df, [stratum], salt, key).withColumnRenamed("_rank", "turn").drop("_total").withColumn("stratum_order", keyed(salt, stratum))
 
 
 def balanced_unit_halves(units: DataFrame, stratum: str, unit_key: str, size: str, salt: str) -> DataFrame:

@@ -361,7 +361,7 @@ def balanced_unit_halves(spark, d):
 
 @query("round_robin_batches", f"SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 7 AS batch FROM documents) GROUP BY batch")
 def round_robin_batches(spark, d):
-    b = sampling._rank(docs(spark, d), ["source"], F.col("doc_id"), name="r").withColumn("batch", ((F.col("r") - 1) % 7).cast("bigint"))
+    b = sampling.running(docs(spark, d).select("doc_id", "source", F.lit(1).alias("one")), "source", "doc_id", "one").withColumn("batch", F.col("before") % 7)
     return b.groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
@@ -383,10 +383,8 @@ def tier_mixture(spark, d):
 
 @query("token_shards", "WITH t AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\n]+')) + 1 AS n FROM documents), c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS before FROM t) SELECT source, CAST(floor(before / 5000) AS BIGINT) AS shard, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY 1, 2")
 def token_shards(spark, d):
-    from pyspark.sql import Window as W
-
     t = docs(spark, d).select("doc_id", "source", (F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))) + 1).cast("bigint").alias("n"))
-    c = t.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("doc_id")) - F.col("n"))
+    c = sampling.running(t, "source", "doc_id", "n")
     return c.groupBy("source", F.floor(F.col("before") / 5000).cast("bigint").alias("shard")).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
@@ -435,6 +433,6 @@ def data_card_counts(spark, d):
 
 @query("length_batches", "WITH r AS (SELECT doc_id, n_chars, floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 50) AS win, lang FROM documents), b AS (SELECT *, floor((row_number() OVER (PARTITION BY lang, win ORDER BY n_chars, doc_id) - 1) / 10) AS batch FROM r) SELECT lang, CAST(win AS BIGINT) AS win, CAST(batch AS BIGINT) AS batch, max(n_chars) AS padded, count(*) AS n FROM b GROUP BY 1, 2, 3")
 def length_batches(spark, d):
-    r = sampling._rank(docs(spark, d), ["lang"], F.col("doc_id"), name="r").withColumn("win", F.floor((F.col("r") - 1) / 50).cast("bigint"))
+    r = sampling.running(docs(spark, d).select("doc_id", "lang", "n_chars", F.lit(1).alias("one")), "lang", "doc_id", "one").withColumn("win", F.floor(F.col("before") / 50))
     b = sampling._rank(r, ["lang", "win"], F.col("n_chars"), F.col("doc_id"), name="k").withColumn("batch", F.floor((F.col("k") - 1) / 10).cast("bigint"))
     return b.groupBy("lang", "win", "batch").agg(F.max("n_chars").alias("padded"), F.count("*").alias("n"))

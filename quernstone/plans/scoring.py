@@ -94,21 +94,29 @@ def confidence_scores(spark, d):
     return a.select("doc_id", "model", *[F.round(c, 6).alias(n) for n, c in M.confidence_scores(F.col("probs")).items()])
 
 
-def _boot_sql(draws):
-    return f"""i AS (SELECT model, doc_id, hit AS v, row_number() OVER (PARTITION BY model ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM sc),
-k AS (SELECT model, b AS draw, {h('boot', "CAST(b AS VARCHAR) || ':' || CAST(i.i AS VARCHAR)")} % n AS pick FROM i, range({draws}) AS x(b)),
-m AS (SELECT k.model, draw, avg(v) AS m FROM k JOIN i ON k.model = i.model AND k.pick = i.i GROUP BY 1, 2)"""
+def _boot_sql(draws, salt, items):
+    """SQL of metrics.resample over items(block, id, v): m(block, draw, m)."""
+    weight = " ".join(f"WHEN u < '{bound}' THEN {k}" for k, bound in enumerate(M.POISSON))
+    return f"""x AS ({items}), b AS (SELECT *, sha256('{salt}:' || CAST(k AS VARCHAR) || ':' || CAST(id AS VARCHAR)) AS hex FROM x, range({draws // 8}) AS r(k)),
+e AS (SELECT block, v, k * 8 + j AS draw, substr(hex, CAST(8 * j + 1 AS INTEGER), 8) AS u FROM b, range(8) AS r(j)),
+w AS (SELECT block, draw, v, CASE {weight} ELSE {len(M.POISSON)} END AS w FROM e),
+m AS (SELECT block, draw, sum(w * v) / sum(w)::DOUBLE AS m FROM w WHERE w > 0 GROUP BY 1, 2)"""
 
 
-@query("bootstrap_ci", f"WITH {ANSWERS}, {_boot_sql(50)} SELECT model, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1")
+DRAWS = 2000
+_GAIN = "SELECT 'm1-m2' AS block, a.doc_id AS id, a.hit - b.hit AS v FROM sc AS a JOIN sc AS b ON a.doc_id = b.doc_id AND a.model = 'm1' AND b.model = 'm2'"
+
+
+@query("bootstrap_ci", f"WITH {ANSWERS}, {_boot_sql(DRAWS, 'boot', 'SELECT model AS block, doc_id AS id, hit AS v FROM sc')} SELECT block AS model, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1")
 def bootstrap_ci(spark, d):
-    return _r(M.bootstrap(scored(spark, d), ["model"], "doc_id", "hit", 50, "boot"), "low", "high")
+    return _r(M.bootstrap(scored(spark, d).select("model", "doc_id", "hit"), ["model"], "doc_id", "hit", DRAWS, "boot"), "low", "high")
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", f"WITH {ANSWERS}, {_boot_sql(DRAWS, 'pairs', _GAIN)} SELECT block AS pair, round((SELECT avg(v) FROM x), 6) AS difference, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM m GROUP BY 1")
 def paired_bootstrap(spark, d):
-    x = scored(spark, d).groupBy("doc_id").agg((F.max(F.when(F.col("model") == "m1", F.col("hit"))) - F.max(F.when(F.col("model") == "m2", F.col("hit")))).alias("gain")).withColumn("pair", F.lit("m1-m2"))
-    return _r(M.bootstrap(x, ["pair"], "doc_id", "gain", 200, "pairs"), "low", "high")
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("hit")))
+    x = scored(spark, d).groupBy("doc_id").agg((of("m1") - of("m2")).alias("gain")).withColumn("pair", F.lit("m1-m2"))
+    return _r(M.paired(x, ["pair"], "doc_id", "gain", DRAWS, "pairs"), "difference", "low", "high", "p")
 
 
 @query("holm", "WITH p AS (SELECT n_nationkey AS test, (n_nationkey + 1) / 300.0::DOUBLE AS p FROM nation), r AS (SELECT *, least(1, p * (25 - row_number() OVER (ORDER BY p) + 1)) AS raw FROM p) SELECT test, round(p, 6) AS p, round(max(raw) OVER (ORDER BY p), 6) AS adjusted FROM r")
