@@ -113,14 +113,23 @@ def resample(items: DataFrame, by: list[str], item: str, values: list[str], draw
     draw) alone, so that blocks share their resamples, and a draw is one aggregate with partial sums: nothing is ranked or joined."""
     from ..functions.hashing import digest
 
-    blocks = items.select(*by, *values, F.col(item).alias("_item")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws // 8 - 1))))
+    # a row becomes draws / 8 rows, so the few bytes of each are dealt to all tasks first
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = items.select(*by, *values, F.col(item).alias("_item")).repartition(tasks, "_item").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws // 8 - 1))))
     hashed = blocks.withColumn("_hex", digest(salt, "_b", "_item"))
-    each = hashed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_u", F.expr("substring(_hex, 8 * _j + 1, 8)"))
-    weight = F.lit(len(POISSON))
-    for k in reversed(range(len(POISSON))):
-        weight = F.when(F.col("_u") < POISSON[k], k).otherwise(weight)
-    weighted = each.select(*by, *values, (F.col("_b") * 8 + F.col("_j")).alias("draw"), weight.alias("_w")).where("_w > 0")
-    return weighted.groupBy(*by, "draw").agg(*[(F.sum(F.col("_w") * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))).alias(v) for v in values])
+
+    def weight(j: int) -> Column:
+        u, out = F.substring("_hex", 8 * j + 1, 8), F.lit(len(POISSON))
+        for k in reversed(range(len(POISSON))):
+            out = F.when(u < POISSON[k], k).otherwise(out)
+        return out
+
+    weighted = hashed.select(*by, *values, "_b", *[weight(j).alias(f"_w{j}") for j in range(8)])
+    # eight draws of a hash are eight aggregates of one row
+    mean = lambda j, v: F.sum(F.col(f"_w{j}") * F.col(v)) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col(f"_w{j}"))), F.lit(0))
+    sums = weighted.groupBy(*by, "_b").agg(F.array(*[F.struct(*[mean(j, v).alias(v) for v in values]) for j in range(8)]).alias("_m"))
+    out = sums.select(*by, "_b", F.posexplode("_m").alias("_j", "_x")).select(*by, (F.col("_b") * 8 + F.col("_j")).alias("draw"), "_x.*")
+    return out.dropna(subset=values, how="all")
 
 
 def bootstrap(items: DataFrame, by: list[str], item: str, value: str, draws: int, salt: str) -> DataFrame:
