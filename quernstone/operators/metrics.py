@@ -147,6 +147,31 @@ def paired(items: DataFrame, by: list[str], item: str, gain: str, draws: int, sa
     return observed.join(q, by).select(*by, "difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
 
 
+def position_effect(questions: DataFrame, key: str, runs: str, places: list[int], right: list[int], shuffles: int, salt: str) -> DataFrame:
+    """(v, p): Cramer's V of runs' place by right (runs: array of struct(..., p, c), at most eight a question), and the share of
+    shuffles of the places within each question that reach it, the observed table counted as one of them. Shuffle -1 is the observed order."""
+    from ..functions.hashing import digest
+
+    tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = questions.select(F.col(key).alias("_q"), F.col(runs).alias("_r")).repartition(tasks, "_q").withColumn("_k", F.explode(F.sequence(F.lit(-1), F.lit(shuffles - 1))))
+    each = each.withColumn("_hex", digest(salt, "_k", "_q"))
+    dealt = F.transform(F.array_sort(F.transform("_r", lambda x, i: F.struct(F.when(F.col("_k") >= 0, F.substring("_hex", 8 * i + 1, 8)).otherwise(F.lpad(i.cast("string"), 8, "0")).alias("u"), x["p"].alias("p")))), lambda y: y["p"])
+    cells = F.zip_with("_r", dealt, lambda x, p: p * len(right) + x["c"])
+    cell = lambda i: F.sum(F.size(F.filter("_cells", lambda x: x == i))).cast("double")
+    n_cells = len(places) * len(right)
+    tables = each.select("_k", cells.alias("_cells")).groupBy("_k").agg(*[cell(i).alias(f"_o{i}") for i in range(n_cells)])
+    o = lambda i, j: F.col(f"_o{i * len(right) + j}")
+    rows = [sum((o(i, j) for j in range(len(right))), F.lit(0.0)) for i in range(len(places))]
+    cols = [sum((o(i, j) for i in range(len(places))), F.lit(0.0)) for j in range(len(right))]
+    n = sum(rows, F.lit(0.0))
+    part = lambda i, j: F.when(rows[i] * cols[j] > 0, F.pow(o(i, j) - rows[i] * cols[j] / n, F.lit(2.0)) / (rows[i] * cols[j] / n)).otherwise(0.0)
+    chi2 = sum((part(i, j) for i in range(len(places)) for j in range(len(right))), F.lit(0.0))
+    v = tables.select("_k", F.sqrt(chi2 / n).alias("v"))
+    seen = v.where("_k < 0").select(F.col("v").alias("_seen"))
+    reached = v.where("_k >= 0").join(F.broadcast(seen)).agg(F.max("_seen").alias("v"), F.count_if(F.col("v") >= F.col("_seen") - 1e-12).alias("_hits"))
+    return reached.select("v", ((1 + F.col("_hits")) / F.lit(float(shuffles + 1))).alias("p"))
+
+
 def fit_temperature(df: DataFrame, by: list[str], probs: str, gold: str, low: float = 0.05, high: float = 20.0, points: int = 49) -> DataFrame:
     """The temperature of least cross-entropy on a grid even in log T; at a bound of the grid there is no fit, and 1.0 holds."""
     grid = [math.exp(math.log(low) + i * (math.log(high) - math.log(low)) / (points - 1)) for i in range(points)]

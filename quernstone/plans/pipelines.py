@@ -99,13 +99,6 @@ def windowed_events(spark, d):
     return streams.daily(spark, d, scratch(spark)).select("day", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("licence_predicate", "SELECT count(*) FILTER (WHERE regexp_matches(lower(text), 'licen[cs]e|cc by|rights reserved')) AS shown, count(*) FILTER (WHERE regexp_matches(lower(text), 'licen[cs]e|cc by|rights reserved') AND regexp_matches(lower(text), 'by-nc|all rights reserved|gnu general')) AS denied FROM documents")
-def licence_predicate(spark, d):
-    t = F.lower("text")
-    shown, denied = t.rlike("licen[cs]e|cc by|rights reserved"), t.rlike("by-nc|all rights reserved|gnu general")
-    return table(spark, d, "documents").agg(F.count_if(shown).alias("shown"), F.count_if(shown & denied).alias("denied"))
-
-
 @query("sentence_reject")
 def sentence_reject(spark, d):
     """First reason that holds for each sentence."""
@@ -134,14 +127,6 @@ def item_flaws(spark, d):
     return x.select("doc_id", (F.length("text") > 4 * F.col("mean")).alias("too_long"))
 
 
-@query("manifest_checks", "SELECT s.h AS site, count(*) AS n FROM pages AS p JOIN (VALUES ('http://'), ('https://'), ('https://www.')) AS s(h) ON starts_with(p.url, s.h) GROUP BY 1")
-def manifest_checks(spark, d):
-    """Prefix join of paths with manifest entries; several entries over one path are an overlap."""
-    entries = spark.createDataFrame([("http://",), ("https://",), ("https://www.",)], "site string")
-    p = table(spark, d, "pages").select("url")
-    return p.join(F.broadcast(entries), F.col("url").startswith(F.col("site"))).groupBy("site").agg(F.count("*").alias("n"))
-
-
 @query("surface_baseline", "WITH x AS (SELECT l.toxic AS gold, c.cue, CASE c.cue WHEN 'digits' THEN regexp_matches(text, '[0-9]') WHEN 'long' THEN length(text) > 1000 ELSE contains(text, chr(10)) END AS bin FROM documents JOIN labels AS l USING (doc_id), (VALUES ('digits'), ('long'), ('lines')) AS c(cue)), n AS (SELECT cue, bin, gold, count(*) AS n FROM x GROUP BY 1, 2, 3), g AS (SELECT *, sum(n) OVER (PARTITION BY cue, bin) AS t FROM n) SELECT cue, round(sum(n * ln((n + 1) / (t + 2)::DOUBLE)), 6) AS fit FROM g GROUP BY cue")
 def surface_baseline(spark, d):
     t = F.col("text")
@@ -165,13 +150,6 @@ def style_leak(spark, d):
     return scored_rows.groupBy("label").agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("recall"), F.count("*").alias("n"))
 
 
-@query("replace_vote", f"WITH {ANSWERS} SELECT doc_id, round(avg(CASE WHEN model = 'm3' THEN p2 ELSE p0 END), 6) AS target FROM a GROUP BY 1")
-def replace_vote(spark, d):
-    """One judge's vote gives way to another reading, and the target is the mean again."""
-    vote = F.when(F.col("model") == "m3", F.col("probs")[2]).otherwise(F.col("probs")[0])
-    return answers(spark, d).groupBy("doc_id").agg(F.round(F.avg(vote), 6).alias("target"))
-
-
 @query("per_task_vote_report", f"WITH {ANSWERS} SELECT track, model, round(avg(greatest(p0, p1, p2)), 6) AS mean_top, count(*) AS n FROM a GROUP BY 1, 2")
 def per_task_vote_report(spark, d):
     return answers(spark, d).groupBy("track", "model").agg(F.round(F.avg(F.array_max("probs")), 6).alias("mean_top"), F.count("*").alias("n"))
@@ -182,13 +160,6 @@ def ensemble_unanimous(spark, d):
     return scored(spark, d).groupBy("doc_id").agg(F.count_distinct("predicted").alias("k"), F.count("*").alias("n")).where("k = 1 AND n = 3").select("doc_id")
 
 
-@query("audit_report", f"WITH {ANSWERS}, g AS (SELECT track, count(*) AS n, avg(1 - hit) AS wrong FROM sc WHERE model = 'm1' GROUP BY 1) SELECT track, n, round(wrong, 6) AS wrong, round(sum(n * wrong) OVER () / sum(n) OVER (), 6) AS pooled FROM g")
-def audit_report(spark, d):
-    g = scored(spark, d).where("model = 'm1'").groupBy("track").agg(F.count("*").alias("n"), F.avg(1 - F.col("hit")).alias("wrong"))
-    every = W.partitionBy()
-    return g.select("track", "n", F.round("wrong", 6).alias("wrong"), F.round(F.sum(F.col("n") * F.col("wrong")).over(every) / F.sum("n").over(every), 6).alias("pooled"))
-
-
 @query("freeze_splits", f"SELECT half, count(*) AS n FROM (SELECT CASE WHEN source IN ('src0', 'src1') THEN 'private' WHEN {u('freeze', 'doc_id')} < 0.5 THEN 'public' ELSE 'private' END AS half FROM documents) GROUP BY half")
 def freeze_splits(spark, d):
     half = F.when(F.col("source").isin("src0", "src1"), "private").when(unit("freeze", "doc_id") < 0.5, "public").otherwise("private")
@@ -226,12 +197,6 @@ def party_table(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count_if(public).alias("public"), F.count_if(~public).alias("private"), F.round(F.avg("quality"), 6).alias("share"))
 
 
-@query("trivial_rows", f"WITH {ANSWERS}, m AS (SELECT doc_id, avg(pg) AS margin FROM sc GROUP BY 1) SELECT doc_id FROM m WHERE margin >= (SELECT quantile_cont(margin, 0.75) FROM m)")
-def trivial_rows(spark, d):
-    m = scored(spark, d).groupBy("doc_id").agg(F.avg(F.get("probs", F.col("gold"))).alias("margin"))
-    return m.join(F.broadcast(m.agg(F.percentile("margin", 0.75).alias("cut")))).where(F.col("margin") >= F.col("cut")).select("doc_id")
-
-
 @query("prior_weights", "WITH c AS (SELECT source, toxic, count(*)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share, sum(n) OVER (PARTITION BY source) AS total, sum(n) OVER (PARTITION BY toxic) / sum(n) OVER () AS nat FROM c) SELECT source, toxic, round(least(greatest((nat / share) * total / (total + 20) + 20 / (total + 20), 0.25), 4), 6) AS weight FROM s")
 def prior_weights(spark, d):
     c = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source", "toxic").agg(F.count("*").cast("double").alias("n"))
@@ -302,13 +267,6 @@ def stems_jaccard(spark, d):
     return both.select("doc_id", "item_id", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).where("jaccard >= 0.05")
 
 
-@query("row_validation", f"WITH {ANSWERS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN gold IS NULL THEN 'no gold' WHEN abs(p0 + p1 + p2 - 1) > 1e-3 THEN 'sum' WHEN length(track) = 0 THEN 'blank track' ELSE 'ok' END AS reason FROM a) GROUP BY reason")
-def row_validation(spark, d):
-    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
-    reason = F.when(F.col("gold").isNull(), "no gold").when(F.abs(total - 1) > 1e-3, "sum").when(F.length("track") == 0, "blank track").otherwise("ok")
-    return answers(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("expected_level", f"WITH {ANSWERS} SELECT doc_id, model, round(p1 + 2 * p2, 6) AS level, round(pow(p0, 0.5) / (pow(p0, 0.5) + pow(p1, 0.5) + pow(p2, 0.5)), 6) AS tempered FROM a")
 def expected_level(spark, d):
     return answers(spark, d).select("doc_id", "model", F.round(F.col("probs")[1] + 2 * F.col("probs")[2], 6).alias("level"), F.round(M.temper(F.col("probs"), 2.0)[0], 6).alias("tempered"))
