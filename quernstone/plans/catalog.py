@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, decisions, pipelines, review, scoring  # noqa: F401  they register their queries
+from . import corpus, curation, decisions, pipelines, review, scoring  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "contaminated_documents"

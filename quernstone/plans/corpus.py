@@ -429,10 +429,3 @@ def date_cells(spark, d):
 @query("data_card_counts", f"SELECT source, count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
 def data_card_counts(spark, d):
     return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.count_distinct("lang").alias("langs"))
-
-
-@query("length_batches", "WITH r AS (SELECT doc_id, n_chars, floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 50) AS win, lang FROM documents), b AS (SELECT *, floor((row_number() OVER (PARTITION BY lang, win ORDER BY n_chars, doc_id) - 1) / 10) AS batch FROM r) SELECT lang, CAST(win AS BIGINT) AS win, CAST(batch AS BIGINT) AS batch, max(n_chars) AS padded, count(*) AS n FROM b GROUP BY 1, 2, 3")
-def length_batches(spark, d):
-    r = sampling.running(docs(spark, d).select("doc_id", "lang", "n_chars", F.lit(1).alias("one")), "lang", "doc_id", "one").withColumn("win", F.floor(F.col("before") / 50))
-    b = sampling._rank(r, ["lang", "win"], F.col("n_chars"), F.col("doc_id"), name="k").withColumn("batch", F.floor((F.col("k") - 1) / 10).cast("bigint"))
-    return b.groupBy("lang", "win", "batch").agg(F.max("n_chars").alias("padded"), F.count("*").alias("n"))

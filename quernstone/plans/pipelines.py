@@ -121,12 +121,6 @@ def ocr_glued(spark, d):
     return glued.groupBy("w").agg(F.count("*").alias("readings"))
 
 
-@query("item_flaws", "SELECT doc_id, chars > 4 * mean AS too_long FROM (SELECT doc_id, length(text) AS chars, avg(length(text)) OVER (PARTITION BY source) AS mean FROM documents)")
-def item_flaws(spark, d):
-    x = table(spark, d, "documents").withColumn("mean", F.avg(F.length("text")).over(W.partitionBy("source")))
-    return x.select("doc_id", (F.length("text") > 4 * F.col("mean")).alias("too_long"))
-
-
 @query("surface_baseline", "WITH x AS (SELECT l.toxic AS gold, c.cue, CASE c.cue WHEN 'digits' THEN regexp_matches(text, '[0-9]') WHEN 'long' THEN length(text) > 1000 ELSE contains(text, chr(10)) END AS bin FROM documents JOIN labels AS l USING (doc_id), (VALUES ('digits'), ('long'), ('lines')) AS c(cue)), n AS (SELECT cue, bin, gold, count(*) AS n FROM x GROUP BY 1, 2, 3), g AS (SELECT *, sum(n) OVER (PARTITION BY cue, bin) AS t FROM n) SELECT cue, round(sum(n * ln((n + 1) / (t + 2)::DOUBLE)), 6) AS fit FROM g GROUP BY cue")
 def surface_baseline(spark, d):
     t = F.col("text")
@@ -185,12 +179,6 @@ def known_text_exclusion(spark, d):
     return x.join(x.where("source = 'src0'").select("k").distinct(), "k", "left_anti").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("promote_assert_disjoint", f"SELECT count(*) AS shared FROM (SELECT DISTINCT text FROM documents WHERE {u('split', 'doc_id')} < 0.1 INTERSECT SELECT DISTINCT text FROM documents WHERE {u('split', 'doc_id')} >= 0.1)")
-def promote_assert_disjoint(spark, d):
-    s = table(spark, d, "documents").select("text", (unit("split", "doc_id") < 0.1).alias("held"))
-    return s.where("held").select("text").intersect(s.where("NOT held").select("text")).agg(F.count("*").alias("shared"))
-
-
 @query("party_table", f"SELECT source, count(*) FILTER (WHERE {u('half', 'doc_id')} < 0.5) AS public, count(*) FILTER (WHERE {u('half', 'doc_id')} >= 0.5) AS private, round(avg(quality), 6) AS share FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def party_table(spark, d):
     public = unit("half", "doc_id") < 0.5
@@ -285,8 +273,3 @@ def parse_distribution(spark, d):
     response = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(top.alias("top_logprobs"))).alias("content")).alias("logprobs"))).alias("choices")))
     r = x.select("doc_id", "model", response.alias("response")).select("doc_id", "model", distribution("response", 3).alias("r"))
     return r.select("doc_id", "model", "r.reason", *[F.round(F.get("r.probs", F.lit(k)), 6).alias(n) for k, n in enumerate("abc")], F.round("r.off_mass", 6).alias("off_mass"))
-
-
-@query("shuffle_prefix", f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {h('prefix', 'doc_id')}, doc_id) AS k FROM documents) WHERE k <= 7")
-def shuffle_prefix(spark, d):
-    return sampling.cap_per_group(table(spark, d, "documents"), "source", "doc_id", "prefix", 7).select("doc_id", "source")
