@@ -210,3 +210,78 @@ def pinned_download(spark, d):
     pin = read("nation")
     ok = [files.verified(spark, f"{d}/{name}.parquet", {f"{name}.parquet": pin}).select(F.lit(name).alias("name"), "ok") for name in ("nation", "region")]
     return ok[0].unionByName(ok[1])
+
+
+_STEM = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4), lambda w: substr(w, 1, 5)))"
+#: Postings longer than this are no keyword; pairs of a site and questions in all that are drawn.
+MAX_DF, SITE_CAP, QUESTIONS = 50, 3, 60
+
+
+@query("positive_negative_rows", f"""WITH pr AS (SELECT CAST(q.conv_id * 1000 + q.turn AS BIGINT) AS id, q.conv_id AS site, q.text AS q, r.text AS a, md5(r.text) AS ah FROM conversations AS q JOIN conversations AS r ON q.conv_id = r.conv_id AND r.turn = q.turn + 1 AND q.role = 'user' AND r.role = 'assistant'),
+ps AS (SELECT id, site, ah, unnest({_STEM.format(x='a')}) AS s FROM pr), df AS (SELECT s, count(*) AS df FROM ps GROUP BY 1), n AS (SELECT count(*) AS n FROM pr),
+sa AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {h('ask', 'id')}, id) AS o FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {h('ask', 'id')}, id) AS k FROM pr) WHERE k <= {SITE_CAP}) WHERE o <= {QUESTIONS}),
+qs AS (SELECT id, site, ah, unnest({_STEM.format(x='q')}) AS s FROM sa),
+sc AS (SELECT qs.id, ps.id AS j, max(CASE WHEN qs.site = ps.site THEN 0 ELSE 1 END) AS kind, sum(1000000 * n // df) AS score FROM qs JOIN ps USING (s) JOIN df USING (s), n WHERE ps.id <> qs.id AND ps.ah <> qs.ah AND (ps.site = qs.site OR df <= {MAX_DF}) GROUP BY 1, 2),
+c AS (SELECT id, j, kind, -score AS w FROM sc UNION ALL SELECT sa.id, pr.id, 2, {h('any', 'pr.id')} FROM sa JOIN pr ON sa.site = pr.site AND sa.id <> pr.id AND sa.ah <> pr.ah
+  UNION ALL SELECT id, j, 3, o FROM (SELECT sa.id, pr.id AS j, row_number() OVER (PARTITION BY sa.id ORDER BY {h('any', 'pr.id')}, pr.id) AS o FROM sa JOIN pr ON sa.site <> pr.site AND sa.ah <> pr.ah) WHERE o = 1),
+b AS (SELECT id, j, kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, w, j) AS k FROM c) WHERE k = 1)
+SELECT id AS question, id AS answer, 1.0 AS target, 'own' AS kind FROM b UNION ALL SELECT id, j, 0.0, CASE kind WHEN 0 THEN 'same_site' WHEN 1 THEN 'keyword' WHEN 2 THEN 'same_site_any' ELSE 'random' END FROM b""")
+def positive_negative_rows(spark, d):
+    """Each sampled question with its own answer and its hardest negative: of the same site by shared rare stems, else of another site by
+    a keyword, else any of the site, else the first in hash order that will do. The questions drawn are a bounded set, held against all answers."""
+    turns = table(spark, d, "conversations")
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    pr = turns.where("role = 'user'").join(said, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("site"), F.col("text").alias("q"), "a", F.md5(F.col("a").cast("binary")).alias("ah"))
+    stems = lambda c: F.explode(F.array_distinct(F.transform(F.filter(T.tokens(c), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 5)))).alias("s")
+    asked = sampling.hash_order_limit(sampling.cap_per_group(pr, "site", "id", "ask", SITE_CAP), "id", "ask", QUESTIONS)
+    ps = pr.select(F.col("id").alias("j"), F.col("site").alias("jsite"), F.col("ah").alias("jah"), stems("a"))
+    qs = F.broadcast(asked.select("id", "site", "ah", stems("q")))  # QUESTIONS questions
+    df = ps.groupBy("s").agg(F.count("*").alias("df")).join(qs.select("s").distinct(), "s", "left_semi")
+    n = pr.agg(F.count("*").alias("n"))
+    idf = df.join(F.broadcast(n)).select("s", "df", F.floor(1000000 * F.col("n") / F.col("df")).alias("idf"))
+    other = F.expr("j <> id AND jah <> ah")
+    shared = ps.join(qs, "s").where(other).join(idf, "s").where(F.expr("jsite = site") | (F.col("df") <= MAX_DF))
+    ranked = shared.groupBy("id", "j").agg(F.max(F.expr("CASE WHEN site = jsite THEN 0 ELSE 1 END")).alias("kind"), (-F.sum("idf")).alias("w"))
+    few, every = F.broadcast(asked.select("id", "site", "ah")), pr.select(F.col("id").alias("j"), F.col("site").alias("jsite"), F.col("ah").alias("jah"))
+    near = every.join(few, F.expr("jsite = site")).where(other).select("id", "j", F.lit(2).alias("kind"), keyed("any", "j").alias("w"))
+    first = every.withColumn("h", keyed("any", "j")).join(few, F.expr("jsite <> site AND jah <> ah")).groupBy("id").agg(F.min(F.struct("h", "j")).alias("m")).select("id", "m.j", F.lit(3).alias("kind"), F.lit(1).cast("bigint").alias("w"))
+    best = ranked.unionByName(near).unionByName(first).groupBy("id").agg(F.min(F.struct("kind", "w", "j")).alias("b"))
+    kinds = F.array(*[F.lit(k) for k in ("same_site", "keyword", "same_site_any", "random")])
+    pos = best.select(F.col("id").alias("question"), F.col("id").alias("answer"), F.lit(1.0).alias("target"), F.lit("own").alias("kind"))
+    return pos.unionByName(best.select(F.col("id").alias("question"), F.col("b.j").alias("answer"), F.lit(0.0).alias("target"), F.get(kinds, F.col("b.kind")).alias("kind")))
+
+
+PARTY_TOTAL, PARTY_CAP = 120, 0.2
+_PARTY = f"""tn AS (SELECT doc_id, source AS party, lang AS cell, text, len(regexp_extract_all(text, '[.!?]')) > 0 AS eligible FROM documents),
+pc AS (SELECT party, cell, count(*) AS n, count(*) FILTER (WHERE eligible) AS room FROM tn GROUP BY 1, 2),
+pn AS (SELECT party, least(floor({PARTY_TOTAL} * sum(n) / (SELECT count(*) FROM tn)::DOUBLE), floor({PARTY_TOTAL} * {PARTY_CAP}::DOUBLE)) AS quota FROM pc GROUP BY 1),
+ce AS (SELECT pc.*, quota, quota * n / sum(n) OVER (PARTITION BY party)::DOUBLE AS exact FROM pc JOIN pn USING (party)),
+cq AS (SELECT *, floor(exact) AS f, row_number() OVER (PARTITION BY party ORDER BY exact - floor(exact) DESC, cell) AS j FROM ce),
+cs AS (SELECT party, cell, room, least(room, f + CASE WHEN j <= quota - sum(f) OVER (PARTITION BY party) THEN 1 ELSE 0 END) AS share FROM cq),
+ovl AS (SELECT DISTINCT id FROM {_runs_sql('documents', 'doc_id')} WHERE run IN (SELECT run FROM {_runs_sql('benchmark', 'item_id')})),
+rk AS (SELECT tn.doc_id, tn.party, tn.cell, share, row_number() OVER (PARTITION BY tn.party, tn.cell ORDER BY {h('draw', 'tn.doc_id')}, tn.doc_id) AS r FROM tn JOIN cs ON tn.party = cs.party AND tn.cell = cs.cell WHERE eligible),
+rs AS (SELECT *, row_number() OVER (PARTITION BY party, cell ORDER BY r) AS k FROM rk WHERE r <= share + greatest(2, ceil(share * 0.5::DOUBLE)) AND doc_id NOT IN (SELECT id FROM ovl))"""
+
+
+@query("parliament_draw", f"WITH {_PARTY} SELECT doc_id, party, cell, r > share AS reserve FROM rs WHERE k <= share")
+def parliament_draw(spark, d):
+    """A draw of turns (documents) by party (source) and cell (language). A party's quota follows its turns, capped; its cells share the
+    quota by largest remainder, each up to its eligible turns. Each cell has a pool of its share and a reserve in hash order; turns that
+    overlap the benchmark in a ten-word run leave it, and the reserve moves up."""
+    docs = table(spark, d, "documents")
+    tn = docs.select("doc_id", F.col("source").alias("party"), F.col("lang").alias("cell"), F.col("text").rlike("[.!?]").alias("eligible"))
+    pc = tn.groupBy("party", "cell").agg(F.count("*").alias("n"), F.count_if("eligible").alias("room"))
+    by = W.partitionBy("party")
+    turns = F.sum("n").over(by)
+    quota = F.least(F.floor(PARTY_TOTAL * turns / F.sum("n").over(W.partitionBy())), F.lit(int(PARTY_TOTAL * PARTY_CAP)))
+    ce = pc.withColumns({"quota": quota, "turns": turns}).withColumn("exact", F.col("quota") * F.col("n") / F.col("turns")).withColumn("f", F.floor("exact"))
+    cq = ce.withColumns({"j": F.row_number().over(by.orderBy(F.desc(F.col("exact") - F.col("f")), "cell")), "left": F.col("quota") - F.sum("f").over(by)})
+    cs = cq.select("party", "cell", F.least("room", F.col("f") + (F.col("j") <= F.col("left")).cast("int")).alias("share"))
+    ranked = sampling._match(sampling.hash_rank(tn.where("eligible").drop("eligible"), ["party", "cell"], "draw", "doc_id"), cs, ["party", "cell"])
+    pool = ranked.where("share > 0 AND _rank <= share + greatest(2, ceil(share * 0.5D))")
+    runs = lambda x: x.select("id", F.explode(T.gram_hashes("w", RUN)).alias("run"))
+    held = runs(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.tokens("text").alias("w"))).select("run").distinct()
+    drawn = docs.select("doc_id", "text").join(pool.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), T.tokens("text").alias("w"))
+    overlapping = runs(drawn).join(held, "run", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    left = pool.join(overlapping, "doc_id", "left_anti").withColumn("k", F.row_number().over(W.partitionBy("party", "cell").orderBy("_rank")))
+    return left.where("k <= share").select("doc_id", "party", "cell", (F.col("_rank") > F.col("share")).alias("reserve"))
