@@ -58,14 +58,14 @@ def mask_pii(text: Column | str) -> Column:
 def pii_kinds(text: Column | str) -> Column:
     """Names of the kinds found, in a fixed order, comma-joined."""
     t = _c(text)
-    digits = F.regexp_extract(t, r"[0-9]{13,19}", 0)
-    doubled = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda d: d != ""), lambda d, i: d.cast("int") * (F.lit(1) + i % 2))
-    luhn = F.aggregate(doubled, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
+    runs = F.filter(F.regexp_extract_all(t, F.lit(r"[0-9]+"), F.lit(0)), lambda r: F.length(r).between(13, 19))
+    doubled = lambda r: F.transform(F.filter(F.split(F.reverse(r), ""), lambda d: d != ""), lambda d, i: d.cast("int") * (F.lit(1) + i % 2))
+    luhn = lambda r: F.aggregate(doubled(r), F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
     found = [
         F.when(t.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]"), "email"),
         F.when(t.rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), "ip"),
         F.when(t.rlike(r"\+[0-9][0-9 ().-]{6,}[0-9]"), "phone"),
-        F.when((digits != "") & luhn, "card"),
+        F.when(F.exists(runs, luhn), "card"),
     ]
     return F.array_join(F.array_compact(F.array(*found)), ",")
 

@@ -15,11 +15,11 @@ def _rank(df: DataFrame, by: list[str], *order: Column, name: str = "_rank") ->
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
-def _match(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def _match(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Join on `by`, nulls being equal; right's columns of these names go."""
     other = right.withColumnsRenamed({c: f"_of_{c}" for c in by})
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
-    return left.join(other, same).drop(*[f"_of_{c}" for c in by])
+    return left.join(other, same, how).drop(*[f"_of_{c}" for c in by])
 
 
 def running(df: DataFrame, by: str, order: str, value: str, width: int = 4096) -> DataFrame:

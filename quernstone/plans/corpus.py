@@ -63,7 +63,10 @@ def mask_pii(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.mask_pii("text").cast("binary")).alias("masked"))
 
 
-@query("pii_detect")
+_LUHN = "list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(r)[i] AS INTEGER) WHEN CAST(reverse(r)[i] AS INTEGER) > 4 THEN 2 * CAST(reverse(r)[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse(r)[i] AS INTEGER) END)) % 10 = 0"
+
+
+@query("pii_detect", r"WITH k AS (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]') THEN 'email' END, CASE WHEN regexp_matches(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') THEN 'ip' END, CASE WHEN regexp_matches(text, '\+[0-9][0-9 ().-]{6,}[0-9]') THEN 'phone' END, CASE WHEN len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda r: length(r) BETWEEN 13 AND 19 AND " + _LUHN + ")) > 0 THEN 'card' END) AS kinds FROM documents) SELECT * FROM k WHERE kinds <> ''")
 def pii_detect(spark, d):
     return docs(spark, d).select("doc_id", T.pii_kinds("text").alias("kinds")).where("kinds <> ''")
 

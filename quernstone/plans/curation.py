@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def length_batches(spark, d):
 
 def _walk(lengths):
     """For each length: rows to a batch, the batch open when it begins and the rows already in it."""
-    import pandas as pd
-
     out, batch, filled = [], 0, 0
     for n, c in lengths.sort_values("n")[["n", "c"]].itertuples(index=False):
         k = max(1, min(ROWS, BUDGET // n))
@@ -285,3 +284,80 @@ def parliament_draw(spark, d):
     overlapping = runs(drawn).join(held, "run", "left_semi").select(F.col("id").alias("doc_id")).distinct()
     left = pool.join(overlapping, "doc_id", "left_anti").withColumn("k", F.row_number().over(W.partitionBy("party", "cell").orderBy("_rank")))
     return left.where("k <= share").select("doc_id", "party", "cell", (F.col("_rank") > F.col("share")).alias("reserve"))
+
+
+#: A word in at least FREQUENT places may be part of a glued one, which has at least GLUED letters and fewer than RARE places.
+FREQUENT, GLUED, RARE = 50, 6, 5
+_GLUE = f"""wc AS (SELECT w, count(*) AS n FROM (SELECT unnest({_W}) AS w FROM documents) GROUP BY 1), fq AS (SELECT w AS part FROM wc WHERE n >= {FREQUENT} AND length(w) >= 2),
+ra AS (SELECT w FROM wc WHERE n < {RARE} AND length(w) >= {GLUED}), sp AS (SELECT w, b, b + length(part) AS e FROM (SELECT w, unnest(range(0, length(w))) AS b FROM ra), fq WHERE substr(w, b + 1, length(part)) = part),
+re AS (SELECT w, CAST(0 AS BIGINT) AS p, 0 AS parts FROM ra UNION SELECT re.w, CAST(sp.e AS BIGINT), re.parts + 1 FROM re JOIN sp ON sp.w = re.w AND sp.b = re.p),
+gl AS (SELECT w, max(parts) AS parts FROM re WHERE p = length(w) GROUP BY 1 HAVING max(parts) >= 2)"""
+
+
+def glued_words(texts):
+    """(w, parts): rare words that are two or more frequent ones run together, and the most there can be. Pieces of rare words meet the
+    frequent words by equality; a walk over the pieces of a word that are left finds whether they cover it."""
+    w = texts.select(F.explode(T.tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    frequent = w.where((F.col("n") >= FREQUENT) & (F.length("w") >= 2)).select(F.col("w").alias("part"))
+    longest = frequent.agg(F.max(F.length("part")).alias("longest"))
+    rare = w.where((F.col("n") < RARE) & (F.length("w") >= GLUED)).select("w").join(F.broadcast(longest)).select("w", "longest", F.explode(F.sequence(F.lit(0), F.length("w") - 2)).alias("b"))
+    pieces = rare.select("w", "b", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.col("longest"), F.length("w") - F.col("b"))))).alias("l")).select("w", "b", (F.col("b") + F.col("l")).alias("e"), F.expr("substring(w, b + 1, l)").alias("part"))
+    found = pieces.join(frequent, "part", "left_semi").groupBy("w").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("spans"))
+
+    @F.pandas_udf("int")
+    def parts(word: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for x, found_in in zip(word, spans):
+            most = {0: 0}
+            for span in found_in:
+                if span["b"] in most:
+                    most[span["e"]] = max(most.get(span["e"], 0), most[span["b"]] + 1)
+            out.append(most.get(len(x), 0))
+        return pd.Series(out, dtype="int32")
+
+    return found.select("w", parts("w", "spans").alias("parts")).where("parts >= 2")
+
+
+@query("ocr_glued", f"WITH RECURSIVE {_GLUE} SELECT w, parts FROM gl")
+def ocr_glued(spark, d):
+    return glued_words(table(spark, d, "documents"))
+
+
+#: Patterns of sentences that are said in every session: short lists for the corpus's languages; a parameter.
+PROCEDURAL = {"thanks": "thank|merci|danke|gracias", "greeting": "welcome|bonjour|willkommen|bienvenid", "chair": "the floor|la parole|das wort|la palabra", "vote": "all in favour|vote|stimmen|votación"}
+_S = "regexp_replace(trim(raw), '\\s+', ' '{g})"
+#: (reason, test in SQL): the first that holds is a sentence's reason; MATCH and {g} stand for what differs between engines.
+REJECTS = [
+    ("page_header", "MATCH(raw, '\\n[ ]*[0-9]+[ ]*\\n')"),
+    ("hyphen_wrap", "MATCH(raw, '\\p{L}-\\n|\\x{AD}')"),
+    ("ocr_spacing", "MATCH(s, '(^| )(\\p{L} ){4,}')"),
+    ("stage_note", "MATCH(lower(s), '[(](applause|laughter|beifall|risas)[)]')"),
+    ("speaker_line", "MATCH(s, '^\\p{Lu}[\\p{L} ]{2,40}:')"),
+    ("capitals", "2 * length(regexp_replace(s, '[^\\p{Lu}]', ''{g})) > length(regexp_replace(s, '[^\\p{L}]', ''{g}))"),
+    ("opening", "MATCH(lower(s), '^(dear|madame|meine damen|estimad)')"),
+    *[(name, f"MATCH(lower(s), '{pattern}')") for name, pattern in PROCEDURAL.items()],
+    ("start", "NOT MATCH(s, '^[\\p{Lu}0-9“\"‘«]')"),
+    ("unfinished", "NOT MATCH(s, '[.!?][”\"’»]*$') OR MATCH(s, '([.][.]|…)[”\"’»]*$')"),
+    ("unbalanced", "length(replace(s, '“', '')) <> length(replace(s, '”', '')) OR length(replace(s, '(', '')) <> length(replace(s, ')', ''))"),
+    ("short", "length(s) - length(replace(s, ' ', '')) + 1 < 8"),
+    ("long", "length(s) - length(replace(s, ' ', '')) + 1 > 40"),
+    ("ocr_glued", "glued OR MATCH(s, '\\p{L}[0-9]+\\p{L}')"),
+    ("names_person", "MATCH(s, '[^.!?] \\p{Lu}\\p{Ll}+ \\p{Lu}\\p{Ll}+')"),
+]
+_RAW = "[^.!?]+[.!?]*"
+
+
+def _reject(match: str, g: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in REJECTS).replace("MATCH", match).replace("{g}", g) + " END"
+
+
+@query("sentence_reject", f"WITH RECURSIVE {_GLUE}, st AS (SELECT doc_id, i, l[i] AS raw, {_S.replace('{g}', ', ' + repr('g')).replace('raw', 'l[i]')} AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_RAW}') AS l FROM documents)) WHERE trim(l[i], ' ' || chr(10)) <> ''), gs AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+')) AS w FROM st) WHERE w IN (SELECT w FROM gl)), j AS (SELECT st.*, gs.i IS NOT NULL AS glued FROM st LEFT JOIN gs USING (doc_id, i)) SELECT coalesce({_reject('regexp_matches', ', ' + repr('g'))}, 'kept') AS reason, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM j GROUP BY 1")
+def sentence_reject(spark, d):
+    """The first reason that holds against each sentence, from page headers to names."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    st = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_RAW), F.lit(0))).alias("i", "raw")).where("trim(' \n' FROM raw) <> ''").withColumn("s", F.regexp_replace(F.trim("raw"), "\\s+", " "))
+    words = st.select("doc_id", "i", F.explode(F.array_distinct(T.tokens("s"))).alias("w"))
+    gs = words.join(glued_words(docs).select("w"), "w", "left_semi").select("doc_id", "i").distinct().withColumn("glued", F.lit(True))
+    j = sampling._match(st, gs, ["doc_id", "i"], "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
+    reason = F.expr(_reject("regexp", "").replace("\\", "\\\\"))
+    return j.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))

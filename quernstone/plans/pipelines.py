@@ -99,28 +99,6 @@ def windowed_events(spark, d):
     return streams.daily(spark, d, scratch(spark)).select("day", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("sentence_reject")
-def sentence_reject(spark, d):
-    """First reason that holds for each sentence."""
-    s = table(spark, d, "documents").select("doc_id", F.explode(T.sentences("text")).alias("s"))
-    words = F.size(F.split("s", " "))
-    letters, capitals = F.length(F.regexp_replace("s", r"[^\p{L}]", "")), F.length(F.regexp_replace("s", r"[^\p{Lu}]", ""))
-    reason = F.when(words < 5, "short").when(words > 60, "long").when(capitals * 2 > letters, "capitals").when(F.col("s").rlike("[#*|]"), "markup")
-    reason = reason.when((F.length("s") - F.length(F.translate("s", '"', ""))) % 2 == 1, "quotes").when(F.col("s").rlike("[0-9]{6}"), "number").otherwise("kept")
-    return s.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query("ocr_glued")
-def ocr_glued(spark, d):
-    """Words that are two frequent words run together: the vocabulary meets itself at every cut of a word."""
-    w = table(spark, d, "documents").select(F.explode(T.tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    frequent = w.where("n >= 50 AND length(w) >= 3").select("w")
-    cuts = w.where("n < 50 AND length(w) >= 6").select("w", F.explode(F.sequence(F.lit(3), F.length("w") - 3)).alias("c"))
-    halves = cuts.select("w", F.expr("substring(w, 1, c)").alias("a"), F.expr("substring(w, c + 1)").alias("b"))
-    glued = halves.join(frequent.withColumnRenamed("w", "a"), "a", "left_semi").join(frequent.withColumnRenamed("w", "b"), "b", "left_semi")
-    return glued.groupBy("w").agg(F.count("*").alias("readings"))
-
-
 @query("surface_baseline", "WITH x AS (SELECT l.toxic AS gold, c.cue, CASE c.cue WHEN 'digits' THEN regexp_matches(text, '[0-9]') WHEN 'long' THEN length(text) > 1000 ELSE contains(text, chr(10)) END AS bin FROM documents JOIN labels AS l USING (doc_id), (VALUES ('digits'), ('long'), ('lines')) AS c(cue)), n AS (SELECT cue, bin, gold, count(*) AS n FROM x GROUP BY 1, 2, 3), g AS (SELECT *, sum(n) OVER (PARTITION BY cue, bin) AS t FROM n) SELECT cue, round(sum(n * ln((n + 1) / (t + 2)::DOUBLE)), 6) AS fit FROM g GROUP BY cue")
 def surface_baseline(spark, d):
     t = F.col("text")
