@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.functions import votes
 from quernstone.operators import dedupe, metrics, overlap, sampling
-from quernstone.plans import catalog
+from quernstone.plans import catalog, curation
+from quernstone.sources import files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind; all of them are compared at a larger scale outside the tests.
@@ -21,6 +22,10 @@ COMPARED = [
     "contaminated_documents", "set_rule", "dedupe_exact_text", "dedupe_normalised", "remove_split_leaks", "hash_split", "apportion", "stratified_take", "matched_cells",
     "cap_top_share", "systematic_fraction", "mask_pii", "lang_filter", "read_csv_tsv", "journal_stream", "windowed_events", "accuracy", "macro_f1", "ece_binned", "augrc",
     "item_gold_join", "join_qrels", "confusion_guard", "saturated_datasets", "pack_windows", "canonical_json", "half_half_quota_select", "join_exact_hash", "paired_draw", "water_fill",
+    "audit_sample", "audit_report", "replace_vote", "row_validation", "licence_predicate", "manifest_checks", "trivial_rows", "row_weights", "memorised", "mining", "review_report",
+    "dev_compare", "permutation_p", "shuffle_prefix", "promote_assert_disjoint", "two_pass_subsample", "mix_recount", "text_screen", "shingle_lookup", "length_batches", "item_flaws",
+    "read_archive_member", "pinned_download", "positive_negative_rows", "parliament_draw", "pii_detect", "ocr_glued", "sentence_reject", "paired_bootstrap", "stratified_carve",
+    "alternate_halves", "balanced_class_draw", "round_robin_batches", "token_shards",
     "coverage_at_risk", "bootstrap_ci", "geometric_mean_board", "confident_flags", "parse_distribution", "collect_gold", "result_diff", "substring_join", "gram_cooccurrence_selfjoin",
 ]
 
@@ -83,6 +88,53 @@ def test_near_pairs_finds_what_is_near(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 0
 
 
+def test_hash_rank_matches_one_window(spark):
+    """Groups of any size, nulls among them, against a rank in one window."""
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i long")
+    got = {r.i: (r._rank, r._total) for r in sampling.hash_rank(df, ["g"], "s", "i").collect()}
+    want = {r.i: (r._rank, sum(g == r.g for g, _ in rows)) for r in sampling._rank(df, ["g"], sampling.keyed("s", "i"), F.col("i")).collect()}
+    assert got == want and len(got) == 400
+
+
+def test_running_keeps_groups_without_a_name(spark):
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3)], "g string, i long, n long")
+    assert sorted((r.i, r.before, r.total) for r in sampling.running(df, "g", "i", "n").collect()) == [(1, 0, 5), (2, 2, 5)]
+
+
+def test_resampling_draws_like_poisson(spark):
+    items = spark.createDataFrame([("a", i, float(i)) for i in range(200)], "b string, i long, v double")
+    means = [r.v for r in metrics.resample(items, ["b"], "i", ["v"], 800, "s").collect()]
+    assert len(means) == 800 and abs(sum(means) / 800 - 99.5) < 1
+    spread = (sum((m - 99.5) ** 2 for m in means) / 800) ** 0.5
+    assert 0.85 < spread / (57.73 / 200**0.5) < 1.15
+
+
+def test_promotion_refuses_shared_texts(spark):
+    rows, none = spark.createDataFrame([(1,), (2,)], "a long"), spark.createDataFrame([], "k string")
+    assert curation.refuse_if_any(rows, none, "shared").count() == 2
+    with pytest.raises(Exception, match="1 shared"):
+        curation.refuse_if_any(rows, spark.createDataFrame([("x",)], "k string"), "shared").collect()
+
+
+def test_archives_of_both_kinds(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/x.txt", "one\ntwo\u2028still two\n")
+        z.writestr("other.txt", "no")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("in/x.txt")
+        info.size = 5
+        t.addfile(info, io.BytesIO(b"three"))
+    got = files.archive_lines(spark, str(tmp_path), "in/x.txt").collect()
+    assert sorted((r.archive.rsplit("/", 1)[1], r.line) for r in got) == [("a.zip", "one"), ("a.zip", "two\u2028still two"), ("b.tar.gz", "three")]
+    with pytest.raises(Exception, match="has no"):
+        files.archive_lines(spark, str(tmp_path), "absent.txt").collect()
+
+
 def test_running_sums_over_bins(spark):
     rows = [(g, i * 37 % 1000 - 200, i % 5) for i in range(500) for g in ("a", "b")]
     got = {(r.g, r.i): (r.before, r.total) for r in sampling.running(spark.createDataFrame(rows, "g string, i long, n long"), "g", "i", "n", 16).collect()}
