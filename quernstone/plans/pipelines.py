@@ -16,6 +16,7 @@ from ..operators import overlap, sampling
 from ..operators.cut import shared_dir
 from ..sources import files
 from ..streaming import journal as streams
+from .corpus import _BY_REF, _HITS, _gram_sql
 from .registry import h, query, table, u
 from .scoring import ANSWERS, answers, scored
 
@@ -88,7 +89,7 @@ def journal_stream(spark, d):
     return streams.first_seen(spark, d, "events", ["user_id", "event_type"], scratch(spark)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("contamination_stream")
+@query("contamination_stream", f"WITH {_gram_sql('r', 'item_id', 'benchmark')}, {_gram_sql('g', 'doc_id', 'documents')}, t AS (SELECT id, count(DISTINCT gram) AS n FROM r GROUP BY 1) SELECT g.id AS doc_id, r.id AS item_id, count(DISTINCT g.gram) / max(t.n)::DOUBLE AS share FROM g JOIN r ON g.gram = r.gram JOIN t ON t.id = r.id GROUP BY 1, 2")
 def contamination_stream(spark, d):
     """Arriving documents against the benchmark's grams: a stream-static join."""
     return streams.contaminated(spark, d, scratch(spark))
@@ -203,7 +204,7 @@ def _smooth(g, points):
     return pd.DataFrame({"model": [g["model"].iloc[0]], "smooth_ece": [error(high)], "bandwidth": [high]})
 
 
-@query("candidate_overlap")
+@query("candidate_overlap", f"{_HITS}, a AS (SELECT item_id, count(DISTINCT ref_pos + k) / max(ref_n)::DOUBLE AS covered FROM hit, range(8) AS o(k) GROUP BY 1), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, doc_id) AS j FROM {_BY_REF}) SELECT item_id, covered, doc_id AS best_doc, share AS best, covered > 0.5 AS drop FROM a JOIN b USING (item_id) WHERE j = 1")
 def candidate_overlap(spark, d):
     """Per reference: covered by all documents together, its best covering document, and whether it is dropped."""
     hits = overlap.shared_grams(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
@@ -218,7 +219,14 @@ def boilerplate(spark, d):
     return g.groupBy("line").agg(F.count("*").alias("sources")).where("sources >= 3")
 
 
-@query("stems_jaccard")
+def _stems_sql(table_, key, lang):
+    listed = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in T.FUNCTION_WORDS.items()}
+    every = "[" + ", ".join(f"'{w}'" for w in sorted({w for v in T.FUNCTION_WORDS.values() for w in v})) + "]"
+    out = f"CASE lang {' '.join(f'WHEN {k!r} THEN {v}' for k, v in listed.items())} ELSE {every} END" if lang else every
+    return f"(SELECT {key}, len(s) AS n, unnest(s) AS t FROM (SELECT {key}, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4 AND NOT list_contains({out}, w)), lambda w: substr(w, 1, 5))) AS s FROM {table_}))"
+
+
+@query("stems_jaccard", f"WITH b AS (SELECT doc_id, item_id, x.n AS n, y.n AS m, count(*) AS c FROM {_stems_sql('documents', 'doc_id', True)} AS x JOIN {_stems_sql('benchmark', 'item_id', False)} AS y USING (t) GROUP BY 1, 2, 3, 4) SELECT doc_id, item_id, c / (n + m - c)::DOUBLE AS jaccard FROM b WHERE c / (n + m - c)::DOUBLE >= 0.05")
 def stems_jaccard(spark, d):
     """Overlap of five-character stems of a document with its language's function words left out, against each item.
     Items, and documents of other languages, have no language to go by: the function words of all are left out."""

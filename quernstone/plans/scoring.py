@@ -5,6 +5,8 @@ three-outcome question about every document, with more mass on the gold outcome
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -125,20 +127,31 @@ def holm(spark, d):
     return _r(M.holm(p, "p", ["family"]).drop("family"), "p", "adjusted")
 
 
-@query("temperature_fit")
+_GRID = [math.exp(math.log(0.05) + i * (math.log(20.0) - math.log(0.05)) / 48) for i in range(49)]
+
+
+@query("temperature_fit", f"WITH {ANSWERS}, g AS (SELECT model, gold, p0, p1, p2, unnest([{', '.join(f'{t!r}::DOUBLE' for t in _GRID)}]) AS t FROM s), r AS (SELECT model, t, gold, pow(p0, 1 / t) AS a, pow(p1, 1 / t) AS b, pow(p2, 1 / t) AS c FROM g), l AS (SELECT model, t, avg(-ln(greatest(CASE gold WHEN 0 THEN a WHEN 1 THEN b ELSE c END / (a + b + c), 1e-12))) AS loss FROM r GROUP BY 1, 2), m AS (SELECT model, arg_min(t, loss) AS t, min(loss) AS loss FROM l GROUP BY 1) SELECT model, round(CASE WHEN t IN ({_GRID[0]!r}::DOUBLE, {_GRID[-1]!r}::DOUBLE) THEN 1.0 ELSE t END, 6) AS temperature, round(loss, 6) AS loss FROM m")
 def temperature_fit(spark, d):
     return _r(M.fit_temperature(answers(spark, d), ["model"], "probs", "gold"), "temperature", "loss")
 
 
-@query("isotonic_abstain_map")
+@query("isotonic_abstain_map", f"WITH {ANSWERS}, c AS (SELECT model, CAST(least(floor(confidence * 1024), 1023) AS BIGINT) AS bin, count(*) AS n, sum(1 - hit) AS wrong FROM sc GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY bin) AS i FROM c), e AS (SELECT a.model, a.i AS lo, b.i AS hi, sum(b.wrong) OVER w / sum(b.n) OVER w::DOUBLE AS v FROM k AS a JOIN k AS b ON a.model = b.model AND a.i <= b.i WINDOW w AS (PARTITION BY a.model, a.i ORDER BY b.i)), x AS (SELECT model, lo, hi, max(v) OVER (PARTITION BY model, lo ORDER BY hi DESC) AS v FROM e), f AS (SELECT model, hi AS i, min(v) AS v FROM x GROUP BY 1, 2) SELECT k.model, bin, n, round(v, 6) AS error FROM k JOIN f ON f.model = k.model AND f.i = k.i")
 def isotonic_abstain_map(spark, d):
-    """Decreasing isotonic map from confidence to expected error, by boundaries."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    x = scored(spark, d).where("model = 'm2'").select("confidence", (1 - F.col("hit")).cast("double").alias("label"))
-    model = IsotonicRegression(isotonic=False, featuresCol="f").fit(VectorAssembler(inputCols=["confidence"], outputCol="f").transform(x))
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(model.boundaries.toArray(), model.predictions.toArray(), strict=True)], "confidence double, error double")
+    """Decreasing isotonic map from confidence, in 1,024 bins, to expected error, for each model."""
+    bin_ = F.least(F.floor(F.col("confidence") * 1024), F.lit(1023))
+    cells = scored(spark, d).groupBy("model", bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum(1 - F.col("hit")).alias("wrong"))
+    return _r(cells.groupBy("model").applyInPandas(_pool, "model string, bin long, n long, error double"), "error")
+
+
+def _pool(cells):
+    """Pools adjacent bins whose mean errors rise until none do. A model's bins are bounded in number, whatever its rows."""
+    cells, blocks = cells.sort_values("bin"), []
+    for wrong, n in zip(cells["wrong"], cells["n"]):
+        blocks.append([wrong, n, 1])
+        while len(blocks) > 1 and blocks[-1][0] * blocks[-2][1] > blocks[-2][0] * blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
+    return cells.assign(error=[w / n for w, n, k in blocks for _ in range(k)])[["model", "bin", "n", "error"]]
 
 
 @query("geometric_mean_board", f"WITH {ANSWERS}, x AS (SELECT model, 'accuracy' AS axis, avg(hit) AS v FROM sc GROUP BY 1 UNION ALL SELECT model, 'brier', 1 - avg(brier) / 2 FROM sc GROUP BY 1), b AS (SELECT model, exp(sum(CASE axis WHEN 'accuracy' THEN 2.0 ELSE 1.0 END * ln(v)) / 3) AS composite FROM x GROUP BY 1) SELECT model, round(composite, 6) AS composite, rank() OVER (ORDER BY composite DESC) AS place FROM b")

@@ -25,7 +25,7 @@ COMPARED = [
     "audit_sample", "audit_report", "replace_vote", "row_validation", "licence_predicate", "manifest_checks", "trivial_rows", "row_weights", "memorised", "mining", "review_report",
     "dev_compare", "permutation_p", "shuffle_prefix", "promote_assert_disjoint", "two_pass_subsample", "mix_recount", "text_screen", "shingle_lookup", "length_batches", "item_flaws",
     "read_archive_member", "pinned_download", "positive_negative_rows", "parliament_draw", "pii_detect", "ocr_glued", "sentence_reject", "paired_bootstrap", "stratified_carve",
-    "alternate_halves", "balanced_class_draw", "round_robin_batches", "token_shards",
+    "temperature_fit", "isotonic_abstain_map", "contamination_stream", "candidate_overlap", "stems_jaccard", "alternate_halves", "balanced_class_draw", "round_robin_batches", "token_shards",
     "coverage_at_risk", "bootstrap_ci", "geometric_mean_board", "confident_flags", "parse_distribution", "collect_gold", "result_diff", "substring_join", "gram_cooccurrence_selfjoin",
 ]
 
