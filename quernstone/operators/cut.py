@@ -1,4 +1,4 @@
-"""Cutting lineage."""
+"""Cutting lineage, and dealing small tables to all cores."""
 
 from __future__ import annotations
 
@@ -18,3 +18,10 @@ def shared_dir(spark: SparkSession) -> str | None:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once: as a checkpoint in the shared folder, or cached where there is none (one process, tests)."""
     return df.checkpoint() if shared_dir(df.sparkSession) else df.persist()
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """scan, a plain read of a table, dealt by key to as many tasks as there are cores if its files give fewer; those of a large
+    table give more, and it stays as it is. For work that costs far more than moving the texts."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import content_id, keyed, unit
 from ..operators import dedupe, overlap, sampling
+from ..operators.cut import spread
 from .registry import h, query, table, u
 
 
@@ -14,6 +15,11 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def texts(spark, d):
+    """doc_id and text of documents, on all cores."""
+    return spread(docs(spark, d).select("doc_id", "text"), "doc_id")
+
+
 def labelled(spark, d):
     """documents with their labels, those that have them."""
     return docs(spark, d).join(table(spark, d, "labels"), "doc_id")
@@ -126,7 +132,7 @@ def dedupe_first(spark, d):
 
 @query("near_dup_pairs")
 def near_dup_pairs(spark, d):
-    return overlap.near_pairs(docs(spark, d), "doc_id", "text")
+    return overlap.near_pairs(texts(spark, d), "doc_id", "text")
 
 
 @query("dedupe_near_greedy")
@@ -172,35 +178,35 @@ _BY_DOC, _BY_REF = _COVER.format(by="doc_id", pos="pos", n="n"), _COVER.format(b
 
 @query("ngram_overlap_fraction", f"{_HITS} SELECT doc_id, round(share, 6) AS fraction FROM {_BY_DOC}")
 def ngram_overlap_fraction(spark, d):
-    hits = overlap.shared_grams(docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
+    hits = overlap.shared_grams(texts(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
     return overlap.coverage(hits, ["doc_id"], "pos", "n_tok").select("doc_id", F.round("fraction", 6).alias("fraction"))
 
 
 @query("covers_reference", f"{_HITS} SELECT doc_id, item_id, round(share, 6) AS fraction FROM {_BY_REF} WHERE share > 0.5")
 def covers_reference(spark, d):
-    hits = overlap.shared_grams(docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
+    hits = overlap.shared_grams(texts(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
     return overlap.coverage(hits, ["doc_id", "item_id"], "ref_pos", "ref_n_tok").where("fraction > 0.5").select("doc_id", "item_id", F.round("fraction", 6).alias("fraction"))
 
 
 @query("ngram_join", f"{_HITS} SELECT doc_id, count(DISTINCT item_id) AS n_refs, count(DISTINCT pos) AS n_grams FROM hit GROUP BY doc_id")
 def ngram_join(spark, d):
-    hits = overlap.shared_grams(docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
+    hits = overlap.shared_grams(texts(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
     return hits.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_refs"), F.count_distinct("pos").alias("n_grams"))
 
 
 @query("contaminated_documents", f"{_HITS} SELECT doc_id, CAST(NULL AS BIGINT) AS item_id, 'ngram' AS rule, round(share, 6) AS share FROM {_BY_DOC} WHERE share > 0.5 UNION ALL SELECT doc_id, item_id, 'covers_reference', round(share, 6) FROM {_BY_REF} WHERE share > 0.5 UNION ALL SELECT a.id, b.id, 'whole', 1.0 FROM g_t AS a JOIN r_t AS b ON array_to_string(a.w, ' ') = array_to_string(b.w, ' ') AND len(a.w) > 0")
 def contaminated_documents(spark, d):
-    return overlap.contaminated(docs(spark, d), table(spark, d, "benchmark")).select("doc_id", "item_id", "rule", F.round("share", 6).alias("share"))
+    return overlap.contaminated(texts(spark, d), table(spark, d, "benchmark")).select("doc_id", "item_id", "rule", F.round("share", 6).alias("share"))
 
 
 @query("set_rule", f"{_HITS}, c AS (SELECT item_id, count(DISTINCT ref_pos + k) / max(ref_n)::DOUBLE AS share FROM hit, range(8) AS o(k) GROUP BY item_id) SELECT (SELECT count(*) FROM benchmark) AS n_refs, count(*) AS n_over, count(*) / (SELECT count(*) FROM benchmark)::DOUBLE > 0.02 AS fails FROM c WHERE share > 0.5")
 def set_rule(spark, d):
-    return overlap.set_share(docs(spark, d), table(spark, d, "benchmark"))
+    return overlap.set_share(texts(spark, d), table(spark, d, "benchmark"))
 
 
 @query("apply_removals", f"{_HITS} SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM {_BY_DOC} WHERE share > 0.5) GROUP BY lang")
 def apply_removals(spark, d):
-    hits = overlap.shared_grams(docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
+    hits = overlap.shared_grams(texts(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
     bad = overlap.coverage(hits, ["doc_id"], "pos", "n_tok").where("fraction > 0.5").select("doc_id")
     return docs(spark, d).select("doc_id", "lang").join(bad, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n"))
 
@@ -208,7 +214,7 @@ def apply_removals(spark, d):
 @query("gram_cooccurrence_selfjoin", f"WITH {_gram_sql('g', 'doc_id', 'documents')}, d AS (SELECT DISTINCT id, gram FROM g), c AS (SELECT gram FROM d GROUP BY gram HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT id, gram FROM d JOIN c USING (gram)), n AS (SELECT id, count(*) AS n FROM d GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM k AS a JOIN k AS b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2) SELECT a, b, shared, round(shared / least(x.n, y.n)::DOUBLE, 6) AS ratio FROM p JOIN n AS x ON a = x.id JOIN n AS y ON b = y.id WHERE shared / least(x.n, y.n)::DOUBLE >= 0.3")
 def gram_cooccurrence_selfjoin(spark, d):
     """Grams as 64-bit hashes, distinct within their text at the source; lists of at most 20 texts for each gram give the pairs."""
-    g = docs(spark, d).select("doc_id", F.array_distinct(T.gram_hashes(T.collapse_runs(T.tokens("text")), overlap.GRAM)).alias("g"))
+    g = texts(spark, d).select("doc_id", F.array_distinct(T.gram_hashes(T.collapse_runs(T.tokens("text")), overlap.GRAM)).alias("g"))
     each = g.select(F.struct("doc_id", F.size("g").alias("n")).alias("x"), F.explode("g").alias("gram"))
     rare = each.groupBy("gram").agg(F.count("*").alias("c")).where("c BETWEEN 2 AND 20").select("gram")
     lists = each.join(rare, "gram").groupBy("gram").agg(F.sort_array(F.collect_list("x")).alias("l"))
@@ -221,7 +227,7 @@ def gram_cooccurrence_selfjoin(spark, d):
 @query("inverted_index_topk", "WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM documents), f AS (SELECT t, count(*) AS df FROM w GROUP BY t HAVING count(*) <= 0.02 * (SELECT count(*) FROM documents)), s AS (SELECT item_id, doc_id, count(*) AS shared, sum(CAST(1000000 / df AS BIGINT)) AS score FROM q JOIN f USING (t) JOIN w USING (t) GROUP BY 1, 2) SELECT item_id, doc_id, shared, CAST(score AS BIGINT) AS score, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 3".replace("1000000 / df", "floor(1000000 / df)"))
 def inverted_index_topk(spark, d):
     q = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens("text"))).alias("t"))
-    w = docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("t"))
+    w = texts(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("t"))
     total = docs(spark, d).agg(F.count("*").alias("total"))
     f = w.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total)).where("df <= 0.02 * total").select("t", F.floor(1000000 / F.col("df")).cast("bigint").alias("idf"))
     s = q.join(f, "t").join(w, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.sum("idf").alias("score"))
