@@ -147,29 +147,54 @@ def paired(items: DataFrame, by: list[str], item: str, gain: str, draws: int, sa
     return observed.join(q, by).select(*by, "difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
 
 
+def cramers_v(table: list[list[Column]]) -> Column:
+    """Cramer's V of a table of counts (doubles) with two columns or rows; cells of an empty margin add nothing, and an empty table has none."""
+    rows, cols = [sum(r, F.lit(0.0)) for r in table], [sum(c, F.lit(0.0)) for c in zip(*table, strict=True)]
+    n = sum(rows, F.lit(0.0))
+    part = lambda i, j: F.when(rows[i] * cols[j] > 0, F.pow(table[i][j] - rows[i] * cols[j] / n, F.lit(2.0)) / (rows[i] * cols[j] / n)).otherwise(0.0)
+    return F.sqrt(sum((part(i, j) for i in range(len(rows)) for j in range(len(cols))), F.lit(0.0)) / F.nullif(n, F.lit(0.0)))
+
+
 def position_effect(questions: DataFrame, key: str, runs: str, places: list[int], right: list[int], shuffles: int, salt: str) -> DataFrame:
     """(v, p): Cramer's V of runs' place by right (runs: array of struct(..., p, c), at most eight a question), and the share of
-    shuffles of the places within each question that reach it, the observed table counted as one of them. Shuffle -1 is the observed order."""
-    from ..functions.hashing import digest
+    shuffles of the places within each question that reach it, the observed table counted as one of them.
 
-    tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = questions.select(F.col(key).alias("_q"), F.col(runs).alias("_r")).repartition(tasks, "_q").withColumn("_k", F.explode(F.sequence(F.lit(-1), F.lit(shuffles - 1))))
-    each = each.withColumn("_hex", digest(salt, "_k", "_q"))
-    dealt = F.transform(F.array_sort(F.transform("_r", lambda x, i: F.struct(F.when(F.col("_k") >= 0, F.substring("_hex", 8 * i + 1, 8)).otherwise(F.lpad(i.cast("string"), 8, "0")).alias("u"), x["p"].alias("p")))), lambda y: y["p"])
-    cells = F.zip_with("_r", dealt, lambda x, p: p * len(right) + x["c"])
-    cell = lambda i: F.sum(F.size(F.filter("_cells", lambda x: x == i))).cast("double")
-    n_cells = len(places) * len(right)
-    tables = each.select("_k", cells.alias("_cells")).groupBy("_k").agg(*[cell(i).alias(f"_o{i}") for i in range(n_cells)])
-    o = lambda i, j: F.col(f"_o{i * len(right) + j}")
-    rows = [sum((o(i, j) for j in range(len(right))), F.lit(0.0)) for i in range(len(places))]
-    cols = [sum((o(i, j) for i in range(len(places))), F.lit(0.0)) for j in range(len(right))]
-    n = sum(rows, F.lit(0.0))
-    part = lambda i, j: F.when(rows[i] * cols[j] > 0, F.pow(o(i, j) - rows[i] * cols[j] / n, F.lit(2.0)) / (rows[i] * cols[j] / n)).otherwise(0.0)
-    chi2 = sum((part(i, j) for i in range(len(places)) for j in range(len(right))), F.lit(0.0))
-    v = tables.select("_k", F.sqrt(chi2 / n).alias("v"))
-    seen = v.where("_k < 0").select(F.col("v").alias("_seen"))
-    reached = v.where("_k >= 0").join(F.broadcast(seen)).agg(F.max("_seen").alias("v"), F.count_if(F.col("v") >= F.col("_seen") - 1e-12).alias("_hits"))
-    return reached.select("v", ((1 + F.col("_hits")) / F.lit(float(shuffles + 1))).alias("p"))
+    A question whose places are all the same, or whose runs are all right or all wrong, gives each shuffle the cells that it has, so it is
+    counted once. The others become a row for each shuffle, in which a run's place goes to the run of its rank; ranks come from
+    comparing the runs' words in pairs, since functions of arrays would be evaluated per element. Equal words stand in order of place."""
+    from ..functions.hashing import digest
+    from .cut import cut
+
+    spark, n_cells = questions.sparkSession, len(places) * len(right)
+    q = cut(questions.select(F.col(key).cast("string").alias("_q"), F.col(f"{runs}.p").alias("_p"), F.col(f"{runs}.c").alias("_c")))
+    fixed = F.least(F.size(F.array_distinct("_p")), F.size(F.array_distinct("_c"))) < 2
+    cell = F.zip_with("_p", "_c", lambda p, c: p * len(right) + c)
+    each = q.select(F.size("_p").alias("_n"), fixed.alias("_fixed"), F.explode(cell).alias("_cell"))
+    is_in = [F.col("_cell") == i for i in range(n_cells)]
+    most, *counts = each.agg(F.max("_n"), *[F.count_if(x) for x in is_in], *[F.count_if(x & F.col("_fixed")) for x in is_in]).first()
+    if not most:
+        return spark.range(1).select(F.lit(None).cast("double").alias("v"), F.lit(1 / (shuffles + 1)).alias("p"))
+
+    # a row becomes as many as there are shuffles, so the few bytes of each are dealt to all tasks first; the first run by place is run 0
+    by_place, numbers = F.sort_array(F.transform("_p", lambda p, i: F.struct(p.alias("p"), (8 * i + 1).alias("at")))), range(most)
+    mixed = q.where(~fixed).select("_q", "_c", by_place.alias("_by"))
+    mixed = mixed.select("_q", "_c", *[F.get("_by", F.lit(i))[c].alias(f"_{c}{i}") for i in numbers for c in ("p", "at")])
+    x = mixed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_q").select("*", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("_k"))
+    ps = [f"_p{i}" for i in numbers]
+    x = x.withColumn("_hex", digest(salt, "_k", "_q")).select("_k", "_c", *ps, *[F.substring("_hex", F.col(f"_at{i}"), F.lit(8)).alias(f"_u{i}") for i in numbers])
+    # 1 if run j, which is after run i by place, is dealt before it
+    x = x.select("_k", "_c", *ps, *[F.when(F.col(f"_u{j}") < F.col(f"_u{i}"), 1).otherwise(0).alias(f"_s{i}_{j}") for j in numbers for i in range(j)])
+    rank = [sum((F.col(f"_s{i}_{j}") for j in range(i + 1, most)), F.lit(i)) - sum((F.col(f"_s{j}_{i}") for j in range(i)), F.lit(0)) for i in numbers]
+    x = x.select("_k", *[(F.col(ps[i]) * len(right) + F.get("_c", rank[i])).alias(f"_cell{i}") for i in numbers])
+    count = lambda c: F.sum(sum((F.when(F.col(f"_cell{i}") == c, 1).otherwise(0) for i in numbers), F.lit(0)))
+    tables = x.groupBy("_k").agg(*[count(c).alias(f"_o{c}") for c in range(n_cells)])
+
+    table = lambda of: [[of(i * len(right) + j) for j in range(len(right))] for i in range(len(places))]
+    seen = cramers_v(table(lambda c: F.lit(float(counts[c]))))
+    v = cramers_v(table(lambda c: (F.col(f"_o{c}") + counts[n_cells + c]).cast("double")))
+    # without questions to shuffle there is no row, and every shuffle is the observed table
+    below = tables.select(v.alias("v")).agg(F.count_if(F.col("v") < seen - 1e-12).alias("_below"))
+    return below.select(seen.alias("v"), ((shuffles + 1 - F.col("_below")) / F.lit(float(shuffles + 1))).alias("p"))
 
 
 def fit_temperature(df: DataFrame, by: list[str], probs: str, gold: str, low: float = 0.05, high: float = 20.0, points: int = 49) -> DataFrame:

@@ -1,5 +1,6 @@
 """The library's queries against DuckDB at the smallest scale, and the semantics that are easy to get wrong."""
 
+import hashlib
 import math
 import random
 import subprocess
@@ -110,6 +111,56 @@ def test_resampling_draws_like_poisson(spark):
     assert 0.85 < spread / (57.73 / 200**0.5) < 1.15
 
 
+def _position_effect(questions, shuffles, salt):
+    """(v, p) run by run: questions of key -> runs (place of three, right)."""
+
+    def v(runs):
+        table = [[sum(r == (i, j) for r in runs) for j in range(2)] for i in range(3)]
+        e = [[sum(table[i]) * sum(x[j] for x in table) / len(runs) for j in range(2)] for i in range(3)]
+        return math.sqrt(sum((table[i][j] - e[i][j]) ** 2 / e[i][j] for i in range(3) for j in range(2) if e[i][j]) / len(runs))
+
+    def dealt(k, key, runs):
+        words = hashlib.sha256(f"{salt}:{k}:{key}".encode()).hexdigest()
+        order = sorted((words[8 * i : 8 * i + 8], p) for i, (p, _) in enumerate(runs))
+        return [(p, c) for (_, p), (_, c) in zip(order, runs, strict=True)]
+
+    seen = v([r for runs in questions.values() for r in runs])
+    hits = sum(v([r for key, runs in questions.items() for r in dealt(k, key, runs)]) >= seen - 1e-12 for k in range(shuffles))
+    return seen, (1 + hits) / (shuffles + 1)
+
+
+def test_shuffles_of_places_run_by_run(spark):
+    rng = random.Random(7)
+
+    def got(questions, shuffles=60):
+        df = spark.createDataFrame(list(questions.items()), "q string, r array<struct<p: int, c: int>>")
+        return metrics.position_effect(df, "q", "r", [0, 1, 2], [0, 1], shuffles, "s")
+
+    mixed = {f"q{i}": [(rng.randrange(3), rng.randrange(2)) for _ in range(1 + i % 8)] for i in range(120)}
+    uneven = {k: [(p, int(p == 0 or c)) for p, c in runs] for k, runs in mixed.items()}
+    for questions in (mixed, uneven, {"three": [(0, 1), (1, 0), (2, 0)]}):
+        assert got(questions).first() == pytest.approx(_position_effect(questions, 60, "s"), abs=1e-12)
+    # no shuffle changes these, so all reach the observed table; without questions there is none
+    alike = {"right": [(0, 1), (1, 1)], "wrong": [(2, 0), (1, 0), (0, 0)], "place": [(1, 0), (1, 1)]}
+    assert got(alike).first() == pytest.approx((_position_effect(alike, 60, "s")[0], 1.0), abs=1e-12)
+    assert tuple(got({}).first()) == (None, 1 / 61)
+
+
+def test_shuffles_are_rows_of_questions_that_they_change(spark):
+    rows = [("a", [(0, 1), (1, 0), (2, 0)]), ("b", [(0, 1), (1, 1), (2, 1)]), ("c", [(2, 0), (2, 1), (2, 0)])]
+    df = metrics.position_effect(spark.createDataFrame(rows, "q string, r array<struct<p: int, c: int>>"), "q", "r", [0, 1, 2], [0, 1], 50, "s")
+    # a function with a lambda is evaluated element by element, which for each question and shuffle took most of the time
+    above, explode, _ = df._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")
+    assert explode and "lambda" not in above
+    df.collect()
+    made, todo = [], [df._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        made += [node.metrics().apply("numOutputRows").value()] if node.nodeName() == "Generate" else []
+    assert made == [50]
+
+
 def test_promotion_refuses_shared_texts(spark):
     rows, none = spark.createDataFrame([(1,), (2,)], "a long"), spark.createDataFrame([], "k string")
     assert curation.refuse_if_any(rows, none, "shared").count() == 2
